@@ -153,14 +153,14 @@ def stem_word(word: Column) -> Column:
 
 def ngrams(token_array: Column, low: int, high: int) -> Column:
     """All n-grams of sizes low..high, words joined by one space."""
-    sizes = []
-    for n in range(low, high + 1):
+    def of_size(n: int) -> Column:
         if n == 1:
-            sizes.append(token_array)
-            continue
+            return token_array
         grams = F.transform(
             token_array,
-            lambda _, i, n=n: F.when(i + n <= F.size(token_array), F.array_join(F.slice(token_array, i + 1, F.lit(n)), " ")),
+            lambda _, i: F.when(i + n <= F.size(token_array), F.array_join(F.slice(token_array, i + 1, F.lit(n)), " ")),
         )
-        sizes.append(F.filter(grams, lambda g: g.isNotNull()))
+        return F.filter(grams, lambda g: g.isNotNull())
+
+    sizes = [of_size(n) for n in range(low, high + 1)]
     return F.concat(*sizes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H
+from ..plans.unnest import unnest
 
 EXTRACTORS = {
     # name: (block rule, choice among the fused blocks)
@@ -28,11 +29,7 @@ def with_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Rows ``(key, block_no, text, words, link_words, link_density, text_density)``."""
-    return (
-        with_blocks(pages.select(key, html), html)
-        .select(key, F.posexplode("blocks").alias("block_no", "b"))
-        .select(key, "block_no", "b.*")
-    )
+    return unnest(with_blocks(pages.select(key, html), html), [key], "blocks", "b", "block_no").select(key, "block_no", "b.*")
 
 
 def with_content(pages: DataFrame, extractor: str = "density", html: str = "html") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.ranking import global_rank
+from ..plans.unnest import unnest
 from .links import in_scope
 
 
@@ -88,7 +89,7 @@ def expand(
     parents = scored.withColumn("own", own).filter(expandable(F.col("own"), F.col("type"), search_depth))
     if respect_nofollow:
         parents = parents.filter(F.col("follow"))
-    found = parents.select("own", F.explode("links").alias("l")).filter(
+    found = unnest(parents, ["own"], "links", "l").filter(
         in_scope(F.col("l.link_class"), search_single_domain, search_subdomains)
     )
     best = found.groupBy(F.col("l.link").alias("url")).agg(F.min("own").alias("priority"))

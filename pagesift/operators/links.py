@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, urls as U
+from ..plans.unnest import unnest
 
 
 def with_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -27,11 +28,8 @@ def with_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Rows ``(src, link, link_class)``, distinct per page."""
-    return (
-        with_links(pages.select(url, html), url, html)
-        .select(F.col(url).alias("src"), F.explode("links").alias("l"))
-        .select("src", "l.link", "l.link_class")
-    )
+    found = with_links(pages.select(url, html), url, html).withColumnRenamed(url, "src")
+    return unnest(found, ["src"], "links", "l").select("src", "l.link", "l.link_class")
 
 
 def in_scope(link_class: Column, search_single_domain: bool, search_subdomains: bool) -> Column:
@@ -45,14 +43,11 @@ def in_scope(link_class: Column, search_single_domain: bool, search_subdomains:
 
 def link_class_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Per page: number of distinct internal, subdomain and external links (no shuffle)."""
+    def count_of(name: str) -> Column:
+        return F.size(F.filter("links", lambda p: p["link_class"] == name)).cast("long").alias(name)
+
     counted = with_links(pages.select(url, html), url, html)
-    return counted.select(
-        F.col(url).alias("src"),
-        *[
-            F.size(F.filter("links", lambda p, c=c: p["link_class"] == c)).cast("long").alias(c)
-            for c in ("internal", "subdomain", "external")
-        ],
-    )
+    return counted.select(F.col(url).alias("src"), *[count_of(c) for c in ("internal", "subdomain", "external")])
 
 
 def host_link_counts(counts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..plans.unnest import unnest
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,8 @@ def with_rules(docs: DataFrame, settings: TextSettings = TextSettings(), text: s
 def to_sentences(docs: DataFrame, key: str, settings: TextSettings = TextSettings(), text: str = "text", keep_empty: bool = False) -> DataFrame:
     """Rows ``(key, sent_no, sentence)``. ``keep_empty`` keeps a document without sentences as one NULL row."""
     ruled = with_rules(docs.select(key, text), settings, text)
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-    return ruled.withColumn("_s", T.sentences(F.col(text), settings.abbreviations)).select(
-        key, explode("_s").alias("sent_no", "sentence")
-    )
+    split = ruled.withColumn("_s", T.sentences(F.col(text), settings.abbreviations))
+    return unnest(split, [key], "_s", "sentence", "sent_no", keep_empty)
 
 
 def with_tokens(sentences: DataFrame, settings: TextSettings = TextSettings()) -> DataFrame:
@@ -58,7 +57,7 @@ def remove_stopwords(sentences: DataFrame, stopwords: DataFrame, key: str) -> Da
     The words are dropped by an anti join on exploded tokens; Catalyst broadcasts the
     table if it is small. Order and repeats are kept by the position.
     """
-    words = sentences.select(key, "sent_no", F.posexplode("tokens").alias("pos", "token"))
+    words = unnest(sentences, [key, "sent_no"], "tokens", "token", "pos")
     kept = words.join(stopwords.select(F.col("stopword").alias("token")).distinct(), "token", "left_anti")
     arrays = kept.groupBy(key, "sent_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]).alias("tokens")
@@ -70,7 +69,7 @@ def remove_stopwords(sentences: DataFrame, stopwords: DataFrame, key: str) -> Da
 
 def stem_dictionary(sentences: DataFrame, settings: TextSettings = TextSettings()) -> DataFrame:
     """Rows ``(token, stem)``: every distinct token is stemmed once."""
-    words = with_tokens(sentences, settings).select(F.explode("tokens").alias("token")).distinct()
+    words = unnest(with_tokens(sentences, settings), [], "tokens", "token").distinct()
     stem = T.stem_word(F.col("token")) if settings.language == "german" else F.col("token")
     return words.withColumn("stem", stem)
 
@@ -83,9 +82,9 @@ def abbreviation_scores(docs: DataFrame, text: str = "text", threshold: float =
     pair (type, period) times factors for length, inner periods and uses without
     period. Counting is one combined aggregation; only two totals reach the driver.
     """
-    word = F.explode(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")), " "))
+    words = docs.select(F.explode(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")), " ")).alias("word"))
     # a period counts at the end of a word, before closing signs
-    bare = docs.select(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "").alias("w")).filter(F.col("w").rlike(r"\p{L}"))
+    bare = words.select(F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "").alias("w")).filter(F.col("w").rlike(r"\p{L}"))
     ends = F.col("w").endswith(".")
     types = bare.groupBy(F.lower(F.regexp_replace("w", r"\.+$", "")).alias("type")).agg(
         F.count_if(ends).alias("with_period"), F.count_if(~ends).alias("without_period")
