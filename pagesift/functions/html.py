@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 # Private-use marks: start and end of a link, and a block boundary.
 LINK_ON, LINK_OFF, BREAK = "\ue000", "\ue001", "\ue002"
 
@@ -67,11 +69,13 @@ def _numeric_references(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    numeric = F.when(F.contains(text, F.lit("&#")), _numeric_references(text)).otherwise(text)
-    named = numeric
-    for name, sign in ENTITIES.items():
-        named = F.replace(named, F.lit(name), F.lit(sign))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+    def decoded(t: Column) -> Column:
+        out = F.when(F.contains(t, F.lit("&#")), _numeric_references(t)).otherwise(t)
+        for name, sign in ENTITIES.items():
+            out = F.replace(out, F.lit(name), F.lit(sign))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return let(text, decoded)
 
 
 def marked_text(html: Column) -> list[Column]:
@@ -190,8 +194,8 @@ def largest_content(fused: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one tag, NULL if it is missing."""
     opened = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(tag, opened, g) for g in (1, 2, 3)])
-    return F.when(tag.rlike(rf"""(?is)[\s"'/]{name}\s*="""), decode_entities(value))
+    value = F.regexp_replace(F.regexp_substr(tag, F.lit(opened)), rf"""(?is)^[\s"'/]{name}\s*=\s*""", "")
+    return decode_entities(F.regexp_replace(value, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2"))
 
 
 def tags(html: Column, name: str) -> Column:
@@ -205,11 +209,8 @@ def robots_directive(html: Column) -> Column:
 
     def verdict(tag: Column) -> Column:
         tokens = F.transform(F.split(attribute(tag, "content"), ","), lambda x: F.trim(x))
-        return (
-            F.when(attribute(tag, "name") != "robots", F.lit(None).cast("int"))
-            .when(F.array_contains(tokens, "noindex"), -1)
-            .when(F.array_contains(tokens, "nofollow"), 0)
-        )
+        said = let(tokens, lambda t: F.when(F.array_contains(t, "noindex"), -1).when(F.array_contains(t, "nofollow"), 0))
+        return F.when(attribute(tag, "name") == "robots", said)
 
     said = F.filter(F.transform(tags(html, "meta"), verdict), lambda v: v.isNotNull())
     return F.coalesce(F.get(said, F.lit(0)), F.lit(1))

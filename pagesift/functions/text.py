@@ -95,72 +95,84 @@ def tokens(sentence: Column, stopwords: Sequence[str] = ()) -> Column:
 
 # --- German stemming -------------------------------------------------------
 # The published Snowball "german" rules, written as rewrites of a whole line of
-# words, each word between two spaces. A digit marks where a region starts: 1 for
-# the first region, 2 for the second. So a line of words is stemmed by a fixed
-# number of linear scans, without a lookup table, a join or a Python call.
+# words, each word after one space. A digit marks where a region starts: 1 for the
+# first region, 2 for the second. Endings are cut from the reversed line, where they
+# are the first letters after a space: a word without a known ending costs one look.
+# So a line of words is stemmed by a fixed number of linear scans, without a lookup
+# table, a join or a Python call.
 VOWELS = "aeiouyäöü"
-_ALSO_VOWEL_RUN = f"[^{VOWELS} ]*[{VOWELS}]+[^{VOWELS} ]"
-REGION_1 = f" ({_ALSO_VOWEL_RUN})"
+_TO_CONSONANT = f"[^{VOWELS} ]*[{VOWELS}]+[^{VOWELS} ]"
+REGION_1 = f" ({_TO_CONSONANT})"
 REGION_1_TOO_EARLY = " ([^ 1]{2})1([^ 1])"
-REGION_2 = f" ({_ALSO_VOWEL_RUN}{_ALSO_VOWEL_RUN})"
+REGION_2 = f" ({_TO_CONSONANT}{_TO_CONSONANT})"
 STEP_1 = (
-    " (?:([^ ]*1[^ ]*nis|[^ ]*(?:n1is|ni1s|nis1))s(?:en|es|e)"
-    "|([^ 1]*1[^ ]*?)(?:ern|em|er|en|es|e)"
-    "|([^ ]*(?:1[^ ]*[bdfghklmnrt]|[bdfghklmnrt]1))s) "
+    " (?:(?:ne|se|e)s(sin[^ 1]*1|si1n|s1in|1sin)"  # -nissen, -nisses, -nisse leave -nis
+    "|(?:nre|me|re|ne|se|e)([^ 1]*1)"
+    "|s([bdfghklmnrt][^ 1]*1|1[bdfghklmnrt]))"
 )
 STEP_2 = (
-    " (?:([^ 1]*1[^ ]*?)(?:est|en|er)"
-    "|([^ ]*1[^ ]*[bdfghklmnt]|[^ ]{3,}[bdfghklmnt]1)st) "
+    " (?:(?:tse|ne|re)([^ 1]*1)"
+    "|ts([bdfghklmnt][^ 1]*1|1[bdfghklmnt][^ ]{3}))"
 )
-_NOT_AFTER_E = "([^ ]*2[^ ]*[^ e2]|[^ ]*[^ e]2)"
+_NOT_AFTER_E = "([^ e2][^ 2]*2|2[^ e])"
 STEP_3 = (
-    f" (?:{_NOT_AFTER_E}ig(?:end|ung)"
-    f"|{_NOT_AFTER_E}(?:isch|ig|ik)"
-    "|([^ ]*2[^ ]*)e[rn](?:lich|heit)"
-    "|([^ ]{3,})e[rn]2(?:lich|heit)"
-    "|([^ ]*2[^ ]*)(?:lich|ig)keit"
-    "|([^ ]*2[^ ]*)(?:end|ung|lich|heit|keit)) "
+    f" (?:(?:dne|gnu)gi{_NOT_AFTER_E}"
+    f"|(?:hcsi|gi|ki){_NOT_AFTER_E}"
+    "|(?:hcil|tieh)[rn]e([^ 2]*2)"
+    "|(?:hcil|tieh)2[rn]e([^ ]{3})"
+    "|tiek(?:hcil|gi)([^ 2]*2)"
+    "|(?:dne|gnu|hcil|tieh|tiek)([^ 2]*2))"
 )
 
 
 def stem_german_line(line: Column) -> Column:
-    """Stem every word of ``' w1  w2 '`` (each word padded by its own spaces)."""
+    """Stem every word of ``' w1 w2'`` (each word after one space)."""
     line = F.replace(line, F.lit("ß"), F.lit("ss"))
+    between = f"([{VOWELS}])([uy])([{VOWELS}])"
+    marked = line
     for _ in range(2):  # the second scan finds vowels that overlap the first one's matches
-        line = F.regexp_replace(line, f"([{VOWELS}])([uy])([{VOWELS}])", "$1#$2$3")
-        line = F.replace(F.replace(line, F.lit("#u"), F.lit("U")), F.lit("#y"), F.lit("Y"))
+        marked = F.regexp_replace(marked, between, "$1#$2$3")
+        marked = F.replace(F.replace(marked, F.lit("#u"), F.lit("U")), F.lit("#y"), F.lit("Y"))
+    line = F.when(line.rlike(between), marked).otherwise(line)
     line = F.regexp_replace(line, REGION_1, " $11")
     line = F.regexp_replace(line, REGION_1_TOO_EARLY, " $1$21")
-    line = F.regexp_replace(line, STEP_1, " $1$2$3 ")
-    line = F.regexp_replace(line, STEP_2, " $1$2 ")
-    line = F.replace(line, F.lit("1"), F.lit(""))
-    line = F.regexp_replace(line, REGION_2, " $12")
-    line = F.regexp_replace(line, STEP_3, " $1$2$3$4$5$6 ")
-    return F.translate(line, "UYäöü12", "uyaou")
+    line = F.reverse(line)
+    # The reversed line starts with a letter: the space has moved to the end.
+    line = F.concat(F.lit(" "), line)
+    line = F.regexp_replace(line, STEP_1, " $1$2$3")
+    line = F.regexp_replace(line, STEP_2, " $1$2")
+    line = F.reverse(F.replace(line, F.lit("1"), F.lit("")))
+    line = F.reverse(F.regexp_replace(line, REGION_2, " $12"))
+    line = F.reverse(F.regexp_replace(line, STEP_3, " $1$2$3$4$5$6"))
+    for found, wanted in (("2", ""), ("U", "u"), ("Y", "y"), ("ä", "a"), ("ö", "o"), ("ü", "u")):
+        line = F.replace(line, F.lit(found), F.lit(wanted))
+    return F.trim(line)
 
 
 def stems(token_array: Column, language: str = "german") -> Column:
     """Stem an array of tokens; languages other than German pass through."""
     if language != "german":
         return token_array
-    line = F.concat(F.lit(" "), F.array_join(token_array, "  "), F.lit(" "))
-    return F.when(F.size(token_array) == 0, token_array).otherwise(F.split(F.trim(stem_german_line(line)), " +"))
+    line = F.concat(F.lit(" "), F.array_join(token_array, " "))
+    return F.array_remove(F.split(stem_german_line(line), " "), "")  # no tokens leave one empty word
 
 
 def stem_word(word: Column) -> Column:
-    return F.trim(stem_german_line(F.concat(F.lit(" "), word, F.lit(" "))))
+    return stem_german_line(F.concat(F.lit(" "), word))
 
 
 def ngrams(token_array: Column, low: int, high: int) -> Column:
     """All n-grams of sizes low..high, words joined by one space."""
-    def of_size(n: int) -> Column:
-        if n == 1:
-            return token_array
-        grams = F.transform(
-            token_array,
-            lambda _, i: F.when(i + n <= F.size(token_array), F.array_join(F.slice(token_array, i + 1, F.lit(n)), " ")),
+    def one_longer(grams: Column, n: int) -> Column:
+        """Grams of n words from grams of n - 1 and the word after each."""
+        count = F.greatest(F.size(token_array) - (n - 1), F.lit(0))
+        return F.zip_with(
+            F.slice(grams, F.lit(1), count), F.slice(token_array, F.lit(n), count), lambda g, w: F.concat(g, F.lit(" "), w)
         )
-        return F.filter(grams, lambda g: g.isNotNull())
 
-    sizes = [of_size(n) for n in range(low, high + 1)]
+    grams, sizes = token_array, []
+    for n in range(1, high + 1):
+        grams = grams if n == 1 else one_longer(grams, n)
+        if n >= low:
+            sizes.append(grams)
     return F.concat(*sizes)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 # The URL grammar these columns rely on (RFC 3986).
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
@@ -43,8 +45,7 @@ def site_root(url: Column) -> Column:
 
 def labels(hostname: Column) -> Column:
     """Host labels without one leading ``www``."""
-    parts = F.split(hostname, r"\.")
-    return F.when(F.get(parts, F.lit(0)) == "www", F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
+    return F.split(F.regexp_replace(F.regexp_replace(hostname, r"^www\.", ""), r"^www$", ""), r"\.")
 
 
 def _last_two(parts: Column) -> Column:
@@ -53,13 +54,15 @@ def _last_two(parts: Column) -> Column:
 
 def link_class(link: Column, base_labels: Column) -> Column:
     """``internal`` / ``subdomain`` / ``external`` against the source page's labels; NULL without a host."""
-    own = labels(host(link))
-    return (
-        F.when(host(link).isNull() | base_labels.isNull(), F.lit(None).cast("string"))
-        .when(_last_two(own) != _last_two(base_labels), F.lit("external"))
-        .when(F.get(own, F.lit(0)) == F.get(base_labels, F.lit(0)), F.lit("internal"))
-        .otherwise(F.lit("subdomain"))
-    )
+    def classify(own: Column) -> Column:
+        return (
+            F.when(own.isNull() | base_labels.isNull(), F.lit(None).cast("string"))
+            .when(_last_two(own) != _last_two(base_labels), F.lit("external"))
+            .when(F.get(own, F.lit(0)) == F.get(base_labels, F.lit(0)), F.lit("internal"))
+            .otherwise(F.lit("subdomain"))
+        )
+
+    return let(labels(host(link)), classify)
 
 
 def _collapse_dots(p: Column) -> Column:
@@ -83,23 +86,26 @@ def resolve(link: Column, root: Column) -> Column:
     ``root`` must end in ``/``. A link with another scheme is returned as it
     stands; an empty query or fragment is dropped.
     """
-    ref = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    own_scheme, own_netloc, own_path = scheme(ref), netloc(ref), path(ref)
-    query, fragment = F.regexp_extract(ref, QUERY, 1), F.regexp_extract(ref, FRAGMENT, 1)
-    tail = F.concat(
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
-    absolute = F.when(own_path.startswith("/"), own_path).otherwise(
-        F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(own_path, r"/{2,}", "/"), r"^/", ""))
-    )
-    clean = F.when(absolute.rlike(r"/\.\.?(/|$)"), _collapse_dots(absolute)).otherwise(absolute)
-    return (
-        F.when(ref.isNull() | (ref == ""), root)
-        .when((own_scheme != "") & (own_scheme != scheme(root)), ref)
-        .when(own_netloc != "", F.concat(scheme(root), F.lit("://"), own_netloc, own_path, tail))
-        .otherwise(F.concat(scheme(root), F.lit("://"), netloc(root), clean, tail))
-    )
+    def absolute(own_path: Column) -> Column:
+        rooted = F.when(own_path.startswith("/"), own_path).otherwise(
+            F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(own_path, r"/{2,}", "/"), r"^/", ""))
+        )
+        return let(rooted, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), _collapse_dots(p)).otherwise(p))
+
+    def resolved(ref: Column) -> Column:
+        tail = F.concat(
+            F.regexp_replace(F.regexp_extract(ref, r"^[^?#]*(\?[^#]*)", 1), r"^\?$", ""),
+            F.regexp_replace(F.regexp_extract(ref, r"^[^#]*(#.*)$", 1), r"^#$", ""),
+        )
+        return (
+            F.when(ref.isNull() | (ref == ""), root)
+            .when(ref.rlike(r"^/(?:[^/?#][^?#]*)?$") & ~F.contains(ref, F.lit("/.")), F.concat(F.substring(root, F.lit(1), F.length(root) - 1), ref))  # the usual case
+            .when(ref.rlike(SCHEME) & (scheme(ref) != scheme(root)), ref)
+            .when(netloc(ref) != "", F.concat(scheme(root), F.lit("://"), netloc(ref), path(ref), tail))
+            .otherwise(F.concat(scheme(root), F.lit("://"), netloc(root), absolute(path(ref)), tail))
+        )
+
+    return let(F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""), resolved)
 
 
 # The characters the fetcher leaves alone when it quotes a URL.

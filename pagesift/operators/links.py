@@ -18,12 +18,13 @@ def with_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         pages.withColumn("_root", U.site_root(F.col(url)))
         .withColumn("_base", F.when(U.host(F.col(url)).isNotNull(), U.labels(U.host(F.col(url)))))
         .withColumn("_tags", H.tags(F.col(html), "a"))
-        .withColumn("_urls", F.array_distinct(F.transform("_tags", lambda t: U.resolve(H.attribute(t, "href"), F.col("_root")))))
+        .withColumn("_hrefs", F.array_distinct(F.transform("_tags", lambda t: H.attribute(t, "href"))))
+        .withColumn("_urls", F.array_distinct(F.transform("_hrefs", lambda h: U.resolve(h, F.col("_root")))))
     )
     pair = lambda u: F.struct(u.alias("link"), U.link_class(u, F.col("_base")).alias("link_class"))
     return found.withColumn(
         "links", F.filter(F.transform("_urls", pair), lambda p: p["link_class"].isNotNull())
-    ).drop("_root", "_base", "_tags", "_urls")
+    ).drop("_root", "_base", "_tags", "_hrefs", "_urls")
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

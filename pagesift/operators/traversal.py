@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, scratch_path
 from .frontier import expandable, own_priority
 
 
@@ -27,10 +25,10 @@ def focused_traversal(
     is expanded again with the better label, and never scored again.
 
     Only URLs and small numbers move. A wave joins the new labels with the edges of
-    their pages, keeps the least label per target before the shuffle, and writes only
-    labels that got better; the waves end because labels can only fall.
+    their pages and writes only labels that got better; the waves end because labels
+    can only fall.
     """
-    # What a page passes on depends on its label only if it is irrelevant.
+    spark = seeds.sparkSession
     page = nodes.select("url", F.col("type"), F.col("relevance"))
     out = materialize(
         edges.select("src", "dst").filter(F.col("dst").isNotNull())
@@ -41,29 +39,32 @@ def focused_traversal(
     if crawled is not None:
         start = start.join(crawled.select("url"), "url", "left_anti")
         out = materialize(out.join(crawled.select(F.col("url").alias("dst")), "dst", "left_anti"), "edges")
-    waves = [materialize(start, "wave")]
+    base = scratch_path(spark, "waves")
+    paths = [f"{base}/0"]
+    new = materialize(start, "wave", paths[0])
     while True:
-        new = waves[-1]
         own = own_priority(F.col("relevance"), F.col("label"), threshold)
         found = (
             out.join(new.select(F.col("url").alias("src"), "label"), "src")
             .withColumn("own", own)
             .filter(expandable(F.col("own"), F.col("type"), search_depth))
-            .groupBy(F.col("dst").alias("url")).agg(F.min("own").alias("label"))
         )
-        known = reduce(DataFrame.unionByName, waves).withColumnRenamed("label", "old")
-        # One aggregation instead of a join with the state: both sides meet by URL.
+        known = spark.read.schema(new.schema).parquet(*paths)
+        # One aggregation instead of a join with the state: both sides meet by URL, and
+        # the many finds of a popular URL are combined before the shuffle.
+        none = F.lit(None).cast("int")
         best = (
-            known.select("url", "old", F.lit(None).cast("int").alias("label"))
-            .unionByName(found.select("url", F.lit(None).cast("int").alias("old"), "label"))
+            known.select("url", F.col("label").alias("old"), none.alias("label"))
+            .unionByName(found.select(F.col("dst").alias("url"), none.alias("old"), F.col("own").alias("label")))
             .groupBy("url").agg(F.min("old").alias("old"), F.min("label").alias("label"))
             .filter(F.col("label").isNotNull() & (F.col("old").isNull() | (F.col("label") < F.col("old"))))
         )
-        wave, seen = materialize(best.select("url", "label"), "wave", n=F.count(F.lit(1)))
+        path = f"{base}/{len(paths)}"
+        new, seen = materialize(best.select("url", "label"), "wave", path, n=F.count(F.lit(1)))
         if not seen["n"]:
             break
-        waves.append(wave)
-    return reduce(DataFrame.unionByName, waves).groupBy("url").agg(F.min("label").alias("label"))
+        paths.append(path)
+    return spark.read.schema(new.schema).parquet(*paths).groupBy("url").agg(F.min("label").alias("label"))
 
 
 def crawl_outcome(labels: DataFrame, nodes: DataFrame, threshold: float = -0.5) -> DataFrame:

@@ -28,24 +28,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, **metrics: Column):
+def materialize(df: DataFrame, name: str, path: str | None = None, **metrics: Column):
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The written table survives lost executors, is column-pruned by its readers and
     gives Catalyst its true size, so joins are broadcast only where it is small.
     With ``metrics`` the aggregates are observed during the write and returned as
-    a dict beside the table.
+    a dict beside the table. ``path`` replaces a fresh path of the given name.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     seen = None
     out = df
     if metrics:
         seen = Observation()
         out = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
-    writer = out.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    out.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     return (table, seen.get) if metrics else table
 
@@ -59,7 +56,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     if size >= cores * split:
         return df

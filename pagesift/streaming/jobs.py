@@ -35,6 +35,9 @@ def start_scoring(pages: DataFrame, model, settings, out: str, checkpoint: str,
     after a failure leaves no duplicate.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:  # a few files per trigger would leave cores idle
+            df = df.repartition(cores)
         scored = oneclass.relevant(score_pages(df, model, settings, key), threshold)
         scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
