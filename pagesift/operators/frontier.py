@@ -27,11 +27,12 @@ def union_puts(*puts: DataFrame) -> DataFrame:
 def unique_frontier(puts: DataFrame, mode: str = "last") -> DataFrame:
     """One live entry per URL: the last put wins, even if worse (``mode='min'``: the best).
 
-    An aggregation and not a window, so the many puts of a popular URL are combined
-    before the shuffle.
+    ``put_seq`` tells the puts of one URL apart. An aggregation and not a window, so
+    the many puts of a popular URL are combined before the shuffle; its buffers are
+    plain numbers, so it hashes and does not sort.
     """
     if mode == "last":
-        value = F.max_by("priority", F.struct("put_seq", -F.col("priority")))
+        value = F.max_by("priority", "put_seq")
     elif mode == "min":
         value = F.min("priority")
     else:
@@ -49,8 +50,13 @@ def frontier_size(frontier: DataFrame) -> DataFrame:
 
 
 def not_crawled(urls: DataFrame, crawled: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
-    """URLs that are not in the crawled set. Call it on distinct URLs: a popular one is then one row."""
-    return urls.join(crawled.select(*keys), list(keys), "left_anti")
+    """URLs that are not in the crawled set. Call it on distinct URLs: a popular one is then one row.
+
+    Catalyst moves an anti join below an aggregation on the same key, where all finds
+    of a popular URL would meet again. An outer join with a test stays above it.
+    """
+    seen = crawled.select(*keys).withColumn("_seen", F.lit(True))
+    return urls.join(seen, list(keys), "left").filter(F.col("_seen").isNull()).drop("_seen")
 
 
 def with_pages(frontier: DataFrame, pages: DataFrame) -> DataFrame:

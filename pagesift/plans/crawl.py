@@ -65,7 +65,7 @@ class FocusedCrawl:
         return crawl_id
 
     def _prepared(self, pages: DataFrame, robots_lines: DataFrame | None) -> DataFrame:
-        """Slim page rows: everything the traversal needs, HTML and text left behind."""
+        """Page rows with links and main text; the HTML is left behind."""
         cfg = self.config
         for name, kind in (("last_fetched", "double"), ("text", "string")):
             if name not in pages.columns:
@@ -82,7 +82,7 @@ class FocusedCrawl:
             p = directives.with_allowed(p, directives.robots_rules(robots_lines, cfg.user_agent, site), site)
         p = links.with_links(p)
         p = with_content(p, cfg.extractor)
-        return p.withColumn("content", F.when(F.col("type") == "html", F.col("content")).otherwise(F.coalesce("text", F.lit("")))).drop("text")
+        return p.withColumn("content", F.when(F.col("type") == "html", F.col("content")).otherwise(F.coalesce("text", F.lit("")))).drop("text", "html")
 
     def run(self, pages: DataFrame, robots_lines: DataFrame | None = None) -> DataFrame:
         """Crawl until the frontier holds only URLs that are not among the pages.
@@ -125,7 +125,11 @@ class FocusedCrawl:
         reached = visited.select("url").unionByName(via).distinct()
         found = oneclass.relevant(nodes, cfg.threshold).join(reached, "url").drop("type", "follow", "n_sentences")
         found = found.join(self.crawled.select("url"), "url", "left_anti")
-        self.store.save_documents(prepared.withColumnRenamed("html", "raw_content").join(found, "url"), self.crawl_id)
+        # Only the found pages meet their HTML again.
+        found = materialize(found, "found")
+        raw = pages.select("url", F.col("html").alias("raw_content")).join(found, "url")
+        texts = prepared.select("url", "last_fetched", "type", "content", "follow").join(found.select("url"), "url")
+        self.store.save_documents(texts.join(raw, "url"), self.crawl_id)
         self.crawled = materialize(self.crawled.unionByName(new_crawled).groupBy("url").agg(F.max("last_fetched").alias("last_fetched")), "crawled")
         left = labels.select("url", F.col("label").alias("priority"))
         self.queue = materialize(frontier.not_crawled(left, self.crawled), "queue")
