@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..plans.joins import lookup
 from ..plans.materialize import materialize
-from ..plans.ranking import global_rank
+from ..plans.ranking import global_rank, ranked
 
 VECTORIZERS = ("count", "tfidf")
 
@@ -45,9 +45,8 @@ def vocabulary(sentence_terms: DataFrame, feature_percentage: float = 1.0) -> Da
     """
     stats = term_statistics(sentence_terms)
     if feature_percentage < 1:
-        ranked = materialize(global_rank(stats, [F.desc("n_total"), F.asc("term")], "_rank", "terms"), "terms")
-        keep = math.floor(ranked.count() * feature_percentage)
-        stats = ranked.filter(F.col("_rank") < keep).drop("_rank")
+        stats, n_terms = ranked(stats, [F.desc("n_total"), F.asc("term")], "_rank", "terms")
+        stats = stats.filter(F.col("_rank") < math.floor(n_terms * feature_percentage)).drop("_rank")
     return materialize(global_rank(stats, [F.asc("term")], "term_id", "vocabulary"), "vocabulary")
 
 

@@ -12,7 +12,12 @@ _POSITION_BITS = 33  # monotonically_increasing_id: partition above, position be
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str, name: str = "rank") -> DataFrame:
-    """Add the 0-based rank ``out`` of each row in the order of ``order`` (unique keys).
+    """Add the 0-based rank ``out`` of each row in the order of ``order`` (unique keys)."""
+    return ranked(df, order, out, name)[0]
+
+
+def ranked(df: DataFrame, order: list[Column], out: str, name: str = "rank") -> tuple[DataFrame, int]:
+    """The table with its ranks, and its number of rows.
 
     One range shuffle and a local sort place the rows; the written row ids carry
     partition and position, and the offsets are one number per partition. No task
@@ -29,12 +34,13 @@ def global_rank(df: DataFrame, order: list[Column], out: str, name: str = "rank"
         offsets.append((p, before))
         before += sizes[p]
     table = F.broadcast(spark.createDataFrame(offsets, "_part long, _offset long"))  # one row per partition
-    return (
+    rows = (
         placed.withColumn("_part", part)
         .join(table, "_part")
         .withColumn(out, F.col("_offset") + F.col("_place").bitwiseAND((1 << _POSITION_BITS) - 1))
         .drop("_part", "_offset", "_place")
     )
+    return rows, before
 
 
 class Threshold(NamedTuple):

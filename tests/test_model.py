@@ -99,7 +99,7 @@ def test_kernel_fit_and_scoring_equal_brute_force(terms, name, monkeypatch):
     keys, x = matrix(terms, vocab)
     kernel = kernels.Kernel(name, gamma=0.2, coef0=-0.5, degree=2)
     sq = (x * x).sum(1)
-    gram = kernel.of(x @ x.T, sq, sq)
+    gram = kernel.function()(x @ x.T, sq, sq)
     a, g, rho = frank_wolfe(gram, 0.3, 2)
     model = kernels.fit_kernel(terms, vocab, "doc_id", kernel, 0.3, 2)
     got = {(r.doc_id, r.sent_no): r.units / oneclass.UNIT for r in model.training.collect()}
