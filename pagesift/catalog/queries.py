@@ -454,7 +454,7 @@ def fetch_schedule(spark, sf_dir):
 
 # --- reports ----------------------------------------------------------------
 def _scored_states(spark, sf_dir):
-    """Documents of the crawls with a relevance from the share of upper-case letters in their URL-free HTML."""
+    """Documents of the crawls with a relevance taken from their language."""
     _, _, queued = _states(spark, sf_dir)
     rel = F.when(_lang() == "de", 1.0).when(_lang() == "fr", -0.5).otherwise(-1.0)
     return pages(spark, sf_dir).select("url", rel.alias("relevance")).join(queued.select("url", "crawl_id"), "url")

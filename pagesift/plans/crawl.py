@@ -92,25 +92,25 @@ class FocusedCrawl:
         """
         cfg = self.config
         prepared = materialize(self._prepared(pages, robots_lines), "pages")
-        docs = prepared.filter("document AND allowed")
+        docs = prepared.filter("document")
         terms = S.with_terms(S.to_sentences(docs.select("url", F.col("content").alias("text")), "url", cfg.text, keep_empty=True), cfg.text)
         relevance = oneclass.document_relevance(oneclass.sentence_votes(terms, self.model, "url"), "url")
-        nodes = materialize(docs.select("url", "type", "follow").join(relevance, "url"), "nodes")
+        nodes = materialize(docs.select("url", "type", "allowed").join(relevance, "url"), "nodes")
         scope = links.in_scope(F.col("l.link_class"), self.settings["search_singledomain"], self.settings["search_subdomains"])
-        edges = docs.select("url", "follow", F.explode("links").alias("l")).filter(scope)
+        edges = docs.select("url", "follow", "allowed", F.explode("links").alias("l")).filter(scope)
         if cfg.respect_nofollow:
             edges = edges.filter("follow")
-        edges = edges.select(F.col("url").alias("src"), F.col("l.link").alias("dst"))
-        hops = directives.follow_redirects(
-            prepared.filter("allowed AND directive >= 0 AND target IS NOT NULL").select("url"), prepared.select("url", "target")
-        )
+        edges = edges.select(F.col("url").alias("src"), F.col("l.link").alias("dst"), "allowed")
+        # Robots rules judge the URL that is popped, not the hops behind it.
+        moving = prepared.filter("type = 'html' AND directive >= 0 AND target IS NOT NULL")
+        hops = directives.follow_redirects(moving.filter("allowed").select("url"), moving.select("url", "target"))
         moved = materialize(
             hops.filter("outcome = 'page' AND hop > 0").select("start", F.col("url").alias("final")), "redirected"
         )
-        all_nodes = nodes.select("url", "type", "relevance").unionByName(
+        all_nodes = nodes.filter("allowed").select("url", "type", "relevance").unionByName(
             moved.join(nodes.withColumnRenamed("url", "final"), "final").select(F.col("start").alias("url"), "type", "relevance")
         )
-        all_edges = edges.unionByName(moved.join(edges.withColumnRenamed("src", "final"), "final").select(F.col("start").alias("src"), "dst"))
+        all_edges = edges.filter("allowed").select("src", "dst").unionByName(moved.join(edges.withColumnRenamed("src", "final"), "final").select(F.col("start").alias("src"), "dst"))
         labels = materialize(
             traversal.focused_traversal(self.queue.select("url", "priority"), all_edges, all_nodes, cfg.threshold, cfg.search_depth, self.crawled),
             "labels",
@@ -122,8 +122,8 @@ class FocusedCrawl:
         now = time.time()
         hop_rows = via.distinct().select("url", F.lit(now).alias("last_fetched"))
         new_crawled = visited.select("url", F.coalesce("last_fetched", F.lit(now)).alias("last_fetched")).unionByName(hop_rows)
-        reached = visited.select("url").unionByName(via).distinct()
-        found = oneclass.relevant(nodes, cfg.threshold).join(reached, "url").drop("type", "follow", "n_sentences")
+        direct = visited.select("url").join(prepared.filter("allowed").select("url"), "url")
+        found = oneclass.relevant(nodes, cfg.threshold).join(direct.unionByName(via).distinct(), "url").select("url", "relevance")
         found = found.join(self.crawled.select("url"), "url", "left_anti")
         # Only the found pages meet their HTML again.
         found = materialize(found, "found")

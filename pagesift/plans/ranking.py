@@ -49,7 +49,7 @@ class Threshold(NamedTuple):
     equal: int  # rows with this value
 
 
-def kth_smallest(df: DataFrame, column: str, k: int, low: int, high: int, bins: int = 4096) -> Threshold:
+def kth_smallest(df: DataFrame, column: str, k: int, low: int, high: int, bins: int = 65_536) -> Threshold:
     """Exact k-th smallest (1-based) of an integer column with values in low..high.
 
     Narrows a histogram until one value is left: each pass is a map-side combined

@@ -145,10 +145,11 @@ def test_focused_crawl(spark):
     h = "https://www.x.de"
     rows = [
         page(f"{h}/", ["/rel", "/dull", "https://other.org/", "http://shop.x.de/s", "/pdf"], True),
-        page(f"{h}/rel", ["/move", "/blocked", "/hidden"], True),
+        page(f"{h}/rel", ["/move", "/blocked", "/hidden", "/hop"], True),
         page(f"{h}/dull", ["/d2"], False), page(f"{h}/d2", ["/d3"], False), page(f"{h}/d3", [], True),
         page(f"{h}/move", [], False, '<meta http-equiv="refresh" content="0; url=/final">'),
         page(f"{h}/final", ["/end"], True), page(f"{h}/blocked", ["/never"], True),
+        page(f"{h}/hop", [], False, '<meta http-equiv="refresh" content="0; url=/blocked/sub">'), page(f"{h}/blocked/sub", [], True),
         page(f"{h}/hidden", ["/never"], True, '<meta name="robots" content="noindex">'),
         page(f"{h}/pdf", [], True, content_type="image/png"), page("https://other.org/", [], True), page("http://shop.x.de/s", [], True),
     ]
@@ -164,16 +165,16 @@ def test_focused_crawl(spark):
     crawl_id = crawl.initialize(crawl_settings=settings, start_urls=[f"{h}/"])
     crawl.run(pages, robots)
     found = {r.url for r in store.of_crawl("relevant_documents", crawl_id).collect()}
-    assert found == {f"{h}/", f"{h}/rel", f"{h}/final"}
+    assert found == {f"{h}/", f"{h}/rel", f"{h}/final", f"{h}/blocked/sub"}
     crawled = {r.url for r in crawl.crawled.collect()}
-    assert crawled == {f"{h}{p}" for p in ("/", "/rel", "/dull", "/d2", "/move", "/final", "/blocked", "/hidden", "/pdf")}
+    assert crawled == {f"{h}{p}" for p in ("/", "/rel", "/dull", "/d2", "/move", "/final", "/blocked", "/hidden", "/pdf", "/hop", "/blocked/sub")}
     assert {r.url: r.priority for r in crawl.queue.collect()} == {f"{h}/end": 1}
     assert not crawl.finished()
     r = crawl.report().first()
-    assert (r.crawled, r.queued, r.parse_queued, r.relevant) == (9, 1, 0, 3)
+    assert (r.crawled, r.queued, r.parse_queued, r.relevant) == (11, 1, 0, 4)
     crawl.stop()
     again = pagesift.FocusedCrawl(spark, store, model, config)
     again.initialize(crawl_id=crawl_id)
     again.run(spark.createDataFrame([page(f"{h}/end", ["/", "/last"], True)], pages.schema))
     assert {r.url for r in again.queue.collect()} == {f"{h}/last"}
-    assert store.of_crawl("relevant_documents", crawl_id).count() == 4
+    assert store.of_crawl("relevant_documents", crawl_id).count() == 5
