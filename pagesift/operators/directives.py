@@ -23,8 +23,8 @@ def indexable(pages: DataFrame) -> DataFrame:
 def with_refresh(pages: DataFrame, base_url: str | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """Add ``refresh`` (raw content) and ``target``.
 
-    With ``base_url`` the target is glued to it as the reference behaviour has it;
-    without, targets are resolved against the page's site root. A refresh without
+    With ``base_url`` the target is glued to it, even an absolute one; without,
+    targets are resolved against the page's site root. A refresh without
     ``;`` has no target: such a page is dropped, and not marked crawled.
     """
     out = pages.withColumn("refresh", H.refresh_content(F.col(html)))
