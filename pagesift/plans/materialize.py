@@ -11,19 +11,32 @@ _own_folders: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+    """Shared folder for intermediate tables of this application.
 
-    Only where the cluster names none (tests, local runs) one temporary folder per
-    application is made.
+    ``spark.checkpoint.dir`` of the session, else the folder given to
+    ``sparkContext.setCheckpointDir``. Only a local master may go without either: then
+    one temporary folder is made. On a cluster every node would have its own, so that
+    is an error.
     """
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    app = context.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _own_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="pagesift-")
+        given = context._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder:
+        if not is_local(context.master):
+            raise ValueError("no shared folder for intermediate tables: set spark.checkpoint.dir or call setCheckpointDir")
+        folder = _own_folders.get(app) or tempfile.mkdtemp(prefix="pagesift-")
         _own_folders[app] = folder
     return f"{folder.rstrip('/')}/{app}"
 
 
+def is_local(master: str) -> bool:
+    """Do driver and executors share one machine and one process?"""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -47,18 +60,38 @@ def materialize(df: DataFrame, name: str, path: str | None = None, **metrics: Co
     return (table, seen.get) if metrics else table
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work on a *small* input, leave a large one as scanned.
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that :func:`materialize` wrote and nothing reads any more.
 
-    A file with one row group is one task however many cores there are. The
-    shuffle is added only if the scan is smaller than the cores could read in one
-    wave, so its cost is bounded and a large scan is never shuffled.
+    Only files below this application's scratch folder are touched.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        home = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).toUri().getPath()
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.toUri().getPath().startswith(home + "/"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scan_partitions(df: DataFrame) -> int:
+    """Tasks that Spark plans for the largest scan below ``df``."""
+    session = df.sparkSession._jsparkSession.sessionState()
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if size >= cores * split:
+    return max(session.executePlan(leaves.apply(i), mode).toRdd().getNumPartitions() for i in range(leaves.size()))
+
+
+def spread(df: DataFrame, *keys: str, enabled: bool = True) -> DataFrame:
+    """Give every core work where a scan has fewer tasks than there are cores.
+
+    A file with one row group is one task however many cores there are. Any scan with
+    enough tasks stays as it is, whatever its size; ``enabled=False`` never shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not enabled or scan_partitions(df) >= cores:
         return df
     return df.repartition(cores, *keys)
