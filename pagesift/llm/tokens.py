@@ -73,10 +73,9 @@ class JsonEncoder:
             if len(self.young) + len(missing) > KEPT_WORDS:
                 self.old, self.young = self.young, {}
                 missing = set(words)
-            known = missing.intersection(self.old)
-            for w in known:
-                self.young[w] = self.old[w]
-            new = list(missing.difference(known))
+            known = {w: self.old[w] for w in missing if w in self.old}
+            self.young.update(known)
+            new = [w for w in missing if w not in known]
             self.young.update(zip(new, self._library(new)))
         return b"".join(map(self.young.__getitem__, words))
 
