@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -20,7 +21,7 @@ SPLIT = (
 )
 UNUSUAL = r"[^\t\n\r\x20-\x7e¡-ſ]"
 
-KEPT_WORDS = 200_000  # words of each of the two generations of a worker's cache
+KEPT_WORDS = 300_000  # words of each of the two generations of a worker's cache
 
 
 class JsonEncoder:
@@ -51,7 +52,7 @@ class JsonEncoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -59,25 +60,32 @@ class JsonEncoder:
         whole = [i for i, t in enumerate(texts) if not self.by_word or self.whole.search(t)]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                words = self.split(text)
-                # A very long text is taken in parts, so the cache never has to hold all its words.
-                parts = (words[at : at + KEPT_WORDS // 4] for at in range(0, len(words), KEPT_WORDS // 4))
-                out[i] = b"".join(self._words(part) for part in parts)
+        plain = [i for i, ids in enumerate(out) if ids is None]
+        words = [self.split(texts[i]) for i in plain]
+        if sum(map(len, words)) <= KEPT_WORDS:
+            self._learn(set().union(*words))
+            for i, some in zip(plain, words):
+                out[i] = b"".join(map(self.young.__getitem__, some))
+            return out
+        for i, some in zip(plain, words):  # long texts are taken in parts, so the cache never has to hold all their words
+            ids = []
+            for at in range(0, len(some), KEPT_WORDS):
+                self._learn(set(some[at : at + KEPT_WORDS]))
+                ids.append(b"".join(map(self.young.__getitem__, some[at : at + KEPT_WORDS])))
+            out[i] = b"".join(ids)
         return out
 
-    def _words(self, words: list[str]) -> bytes:
-        missing = set(words).difference(self.young)
+    def _learn(self, words: set[str]) -> None:
+        """Make sure that the younger generation has these words."""
+        missing = words.difference(self.young)
         if missing:
             if len(self.young) + len(missing) > KEPT_WORDS:
                 self.old, self.young = self.young, {}
-                missing = set(words)
+                missing = words
             known = {w: self.old[w] for w in missing if w in self.old}
             self.young.update(known)
             new = [w for w in missing if w not in known]
             self.young.update(zip(new, self._library(new)))
-        return b"".join(map(self.young.__getitem__, words))
 
     def with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first and end character of each token."""
