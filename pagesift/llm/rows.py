@@ -51,15 +51,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, char
             at = end
 
 
-BROADCAST_KEYS = 1_000_000  # of at most 16 bytes each
+BROADCAST_BYTES = 16 << 20
+
+
+def small(table: DataFrame) -> bool:
+    """Is a written table, by its files and the columns read, at most BROADCAST_BYTES large?"""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
 
 
 def keep_keys(big: DataFrame, keys: DataFrame, key: str, keep: bool = True) -> DataFrame:
     """Rows of ``big`` whose ``key`` is (or, with ``keep=False``, is not) in the written table ``keys``.
 
-    The keys are counted: up to BROADCAST_KEYS they are broadcast and ``big`` does not
-    move, beyond that both sides are shuffled. The rows are the same.
+    A small table of keys is broadcast and ``big`` does not move; else both sides are
+    shuffled. The rows are the same.
     """
-    keys = keys.select(key).distinct()
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return big.join(F.broadcast(keys) if few else keys, key, "left_semi" if keep else "left_anti")
+    keys = keys.select(key)
+    some = F.broadcast(keys.distinct()) if small(keys) else keys.distinct()
+    return big.join(some, key, "left_semi" if keep else "left_anti")
+
+
+def look_up(big: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``big`` with a written table, which is broadcast if it is small."""
+    return big.join(F.broadcast(table) if small(table) else table, key)

@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -62,30 +63,33 @@ class JsonEncoder:
             out[i] = ids
         plain = [i for i, ids in enumerate(out) if ids is None]
         words = [self.split(texts[i]) for i in plain]
-        if sum(map(len, words)) <= KEPT_WORDS:
-            self._learn(set().union(*words))
-            for i, some in zip(plain, words):
-                out[i] = b"".join(map(self.young.__getitem__, some))
-            return out
-        for i, some in zip(plain, words):  # long texts are taken in parts, so the cache never has to hold all their words
-            ids = []
-            for at in range(0, len(some), KEPT_WORDS):
-                self._learn(set(some[at : at + KEPT_WORDS]))
-                ids.append(b"".join(map(self.young.__getitem__, some[at : at + KEPT_WORDS])))
-            out[i] = b"".join(ids)
+        flat = words[0] if len(words) == 1 else list(chain.from_iterable(words))
+        # Some words at a time, so the cache never has to hold all those of a very long text.
+        ids = [x for at in range(0, len(flat), KEPT_WORDS) for x in self._words(flat[at : at + KEPT_WORDS])]
+        end = 0
+        for i, some in zip(plain, words):
+            start, end = end, end + len(some)
+            out[i] = b"".join(ids[start:end])
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Make sure that the younger generation has these words."""
-        missing = words.difference(self.young)
-        if missing:
-            if len(self.young) + len(missing) > KEPT_WORDS:
-                self.old, self.young = self.young, {}
-                missing = words
-            known = {w: self.old[w] for w in missing if w in self.old}
-            self.young.update(known)
-            new = [w for w in missing if w not in known]
-            self.young.update(zip(new, self._library(new)))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; a word that the younger generation lacks is taken from the older one or encoded."""
+        found = list(map(self.young.get, words))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        missing = {words[i] for i in lacking}
+        if len(self.young) + len(missing) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
+        new = []
+        for w in missing:
+            ids = self.old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.young[w] = ids
+        self.young.update(zip(new, self._library(new)))
+        for i in lacking:
+            found[i] = self.young[words[i]]
+        return found
 
     def with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first and end character of each token."""
