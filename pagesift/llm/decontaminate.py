@@ -11,7 +11,7 @@ from .hashing import WordHasher
 from .rows import slices
 
 SEED_WORDS = 3
-RARE_SHARE = 0.5
+COMMON = 4
 SLICE_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAKS = ArrayType(StructType([
@@ -46,12 +46,11 @@ class Seeds:
         grams, owners, places = [], [], []
         for n, item in enumerate(self.texts):
             found = hasher.grams(item, words)
+            keep = np.arange(len(found))
             if counts is not None and len(found):
-                # The rarest share of the item's own seeds: a passage that leaked everywhere still has some.
+                # Rare beside the item's other grams: those of a leaked passage are all about as frequent, common phrases are not.
                 often = np.array([counts.get(int(g), 0) for g in found])
-                keep = np.argsort(often, kind="stable")[: max(8, int(np.ceil(RARE_SHARE * len(found))))]
-            else:
-                keep = np.arange(len(found))
+                keep = np.flatnonzero(often <= COMMON * (np.median(often) + 1))
             grams.append(found[keep]), owners.append(np.full(len(keep), n)), places.append(keep)
         grams = np.concatenate([np.empty(0, dtype=np.uint64), *grams])
         order = np.argsort(grams, kind="stable")
@@ -133,8 +132,8 @@ def with_leaks(
 ) -> DataFrame:
     """The columns of ``docs`` and ``__leaks``: the test items that each text holds.
 
-    Seeds are the ``words``-word grams of an item that are rarest in the documents, half of
-    its grams (8 at least). A text that holds a seed is aligned with the item around it by
+    Seeds are the ``words``-word grams of an item, without those that are more than COMMON times as frequent in
+    the documents as the item's median gram. A text that holds a seed is aligned with the item around it by
     Smith-Waterman over words: +1 for a match, -0.5 for a mismatch or a gap. A leak has a score of at least ``threshold``
     times the item's words; its score is given as that share, with the aligned words' first place and end.
 

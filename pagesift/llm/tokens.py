@@ -112,9 +112,12 @@ class PieceEncoder:
         return [np.array(ids, dtype="<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
     def with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pieces = self.model.encode(text, out_type="immutable_proto").pieces
+        pieces = self.model.encode(text, return_type="proto").pieces
         table = np.array([(p.id, p.begin, p.end) for p in pieces], dtype=np.int64).reshape(-1, 3)
-        return table[:, 0], table[:, 1], table[:, 2]
+        # Offsets count bytes; the character of a byte is the number of characters begun before it.
+        begun = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+        at = np.concatenate([[0], np.cumsum(begun)])
+        return table[:, 0], at[table[:, 1]], at[table[:, 2]]
 
 
 def encoder(path: str):
