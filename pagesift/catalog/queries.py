@@ -203,7 +203,7 @@ def robots_filter(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"))
     file = F.array(*[F.lit(line) for line in ROBOTS_LINES])
     lines = p.select("host").distinct().select("host", F.posexplode(file).alias("line_no", "line"))
-    rules = directives.robots_rules(lines, "MyCrawler/1.0 | https://example.com/", "host")
+    rules = directives.robots_rules(lines, "pagesift/1.0", "host")
     return directives.with_allowed(p, rules, "host").select("page_id", "url", "allowed")
 
 

@@ -7,6 +7,8 @@ in the common subset of Java and RE2 expressions.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from .binding import let
@@ -37,43 +39,56 @@ INLINE_TAG = (
 ANY_TAG = r"<(?:[!/?a-zA-Z][^>]*)?(?:>|\z)"
 BLANKS = r"[ \t\n\x0B\f\r\x{00A0}]+"
 
-# Named character references that are decoded; & comes last.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
-    "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß",
-    "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…",
-    "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&ntilde;": "ñ",
-    "&amp;": "&",
-}
+MARKS = "\ue000\ue001\ue002\ue003\ue004"  # of this module and of the sentence splitter
+REPLACED = "\ufffd"
 
 
-def _numeric_references(text: Column) -> Column:
-    """Decode ``&#228;`` and ``&#xe4;`` of the basic plane."""
+def without_marks(text: Column) -> Column:
+    """Text rid of the private-use characters that serve as marks, so that no page can forge one."""
+    return F.translate(text, MARKS, "")
 
-    def one(piece: Column, code: Column, length: Column) -> Column:
-        four = F.lpad(code, 4, "0")
-        return F.concat(F.decode(F.unhex(four), "UTF-16BE"), F.substring(piece, length + F.lit(1), F.length(piece)))
 
-    def piece_text(piece: Column, i: Column) -> Column:
-        decimal = F.regexp_extract(piece, r"^([0-9]{1,5});", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,4});", 1)
-        number = F.when(decimal == "", "0").otherwise(decimal).cast("long")
-        return (
-            F.when(i == 0, piece)
-            .when((decimal != "") & (number < 65536), one(piece, F.hex(number), F.length(decimal) + 1))
-            .when(hexa != "", one(piece, hexa, F.length(hexa) + 2))
-            .otherwise(F.concat(F.lit("&#"), piece))
-        )
+def _names() -> Column:
+    """Named references (without ``&``) by their first two letters: short lists instead of one long one."""
+    groups: dict[str, dict[str, str]] = {}
+    for name, sign in sorted(html5.items()):
+        if name.endswith(";"):
+            groups.setdefault(name[:2], {})[name] = " " if name == "nbsp;" else sign.translate({ord(m): None for m in MARKS})
+    lists = [F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) for names in groups.values()]
+    return F.create_map(*[x for pair in zip(map(F.lit, groups), lists) for x in pair])
 
-    return F.array_join(F.transform(F.split(text, "&#"), piece_text), "")
+
+def _character(number: Column) -> Column:
+    """The character of a number; zero, surrogates and numbers beyond Unicode give U+FFFD, marks give nothing."""
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    return F.when(bad, REPLACED).when(number.between(ord(MARKS[0]), ord(MARKS[-1])), "").otherwise(plain)
 
 
 def decode_entities(text: Column) -> Column:
+    """Decode all named references of HTML that end in ``;`` and all numeric ones, in one pass."""
+    names = _names()
+
+    def piece_text(piece: Column, i: Column) -> Column:
+        def decoded(head: Column) -> Column:
+            rest = F.substring(piece, F.length(head) + F.lit(1), F.length(piece))
+            digits = F.regexp_extract(head, r"^#0*([0-9]{1,7});", 1)
+            hexa = F.regexp_extract(head, r"^#[xX]0*([0-9a-fA-F]{1,6});", 1)
+            number = F.when(digits != "", digits.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+            beyond = head.startswith("#")  # more digits than any character has
+            sign = F.try_element_at(F.try_element_at(names, F.substring(head, 1, 2)), head)
+            return (
+                F.when((i == 0) | (head == ""), F.when(i == 0, piece).otherwise(F.concat(F.lit("&"), piece)))
+                .when(number.isNotNull(), F.concat(_character(number), rest))
+                .when(beyond, F.concat(F.lit(REPLACED), rest))
+                .when(sign.isNotNull(), F.concat(sign, rest))
+                .otherwise(F.concat(F.lit("&"), piece))
+            )
+
+        return let(F.regexp_extract(piece, r"^(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]{1,31};)", 0), decoded)
+
     def decoded(t: Column) -> Column:
-        out = F.when(F.contains(t, F.lit("&#")), _numeric_references(t)).otherwise(t)
-        for name, sign in ENTITIES.items():
-            out = F.replace(out, F.lit(name), F.lit(sign))
-        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), piece_text), "")).otherwise(t)
 
     return let(text, decoded)
 
@@ -81,7 +96,7 @@ def decode_entities(text: Column) -> Column:
 def marked_text(html: Column) -> list[Column]:
     """The successive rewrites from HTML to marked text, each a function of the one before."""
     def cut(c: Column) -> Column:
-        c = F.regexp_replace(c, IGNORED, "$1$2$3$4$5$6$7$8")
+        c = F.regexp_replace(without_marks(c), IGNORED, "$1$2$3$4$5$6$7$8")
         c = F.regexp_replace(c, ANCHOR_OPEN, f" {LINK_ON}")
         c = F.regexp_replace(c, ANCHOR_CLOSE, f"{LINK_OFF} ")
         c = F.regexp_replace(c, INLINE_TAG, " ")

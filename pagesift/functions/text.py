@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 # Default rewrite rules (pattern, replacement), applied in this order:
 # unify gender forms, remove hyphenation, remove line breaks.
 DEFAULT_RULES = (
@@ -31,6 +33,7 @@ DEFAULT_STOPWORDS = (
 )
 
 MASK, CUT = "\ue003", "\ue004"
+# Fixed value: what cleaning replaces by a blank.
 OUTSIDE_ALPHABET = "[^a-zA-Z öÖäÄüÜß]"
 
 
@@ -47,33 +50,57 @@ def _java_replacement(replacement: str) -> str:
     return re.sub(r"\\g<(?P<group>\w+)>|\\(?P<digit>\d)|\\.|[$\\]", part, replacement)
 
 
+_usable: dict[tuple, list[tuple[str, str]]] = {}
+
+
 def usable_rules(spark, rules: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Rules as Java expressions, without those that do not compile (a bad rule is skipped)."""
-    good = []
-    for pattern, replacement in rules:
-        try:
-            re.compile(pattern)
-            java = (pattern.replace("(?P<", "(?<"), _java_replacement(replacement))
-            spark.range(1).select(F.regexp_replace(F.lit("x"), F.lit(java[0]), F.lit(java[1]))).collect()
-        except Exception:  # noqa: BLE001 - any broken rule is skipped, as the rule contract says
-            continue
-        good.append(java)
-    return good
+    """Rules as Java expressions, without those that do not compile (a bad rule is skipped).
+
+    They are compiled by the driver's JVM, once per set of rules. A repeated alternation such as ``(a|b)+``
+    recurses in Java for each repetition: over long runs it needs executors with a larger thread stack
+    (``-Xss``), or better a character class.
+    """
+    key = tuple(map(tuple, rules))
+    if key not in _usable:
+        good = []
+        for pattern, replacement in key:
+            try:
+                re.compile(pattern)
+                java = (pattern.replace("(?P<", "(?<"), _java_replacement(replacement))
+                spark._jvm.java.util.regex.Pattern.compile(java[0]).matcher("x").replaceAll(java[1])
+            except Exception:  # noqa: BLE001 - any broken rule is skipped, as the rule contract says
+                continue
+            good.append(java)
+        _usable[key] = good
+    return _usable[key]
+
+
+def join_lines(text: Column) -> Column:
+    """The default line-break rule as built-in steps.
+
+    As a pattern its repeated alternation overflows the thread stack at some thousand line ends in a row, and its
+    leading blanks are tried anew at each blank of a run. Cut at line ends, the blanks before each are trimmed in one scan.
+    """
+    pieces = F.split(text, r"[\r\n]+", -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == F.size(pieces) - 1, p).otherwise(F.rtrim(p, F.lit("\t ")))), " ")
 
 
 def apply_rules(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Ordered regex rewrites; the rules are Java expressions from :func:`usable_rules`."""
     for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+        if (pattern, replacement) == DEFAULT_RULES[2]:
+            text = let(text, join_lines)
+        else:
+            text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
 def sentences(text: Column, abbreviations: Sequence[str] = DEFAULT_ABBREVIATIONS) -> Column:
     """Array of trimmed, non-empty sentences; a listed abbreviation does not end one."""
-    masked = text
+    masked = F.translate(text, MASK + CUT, "")
     if abbreviations:
         names = "|".join(re.escape(a) for a in abbreviations)
-        masked = F.regexp_replace(text, rf"(^|[^\p{{L}}])({names})\.", f"$1$2{MASK}")
+        masked = F.regexp_replace(masked, rf"(^|[^\p{{L}}])({names})\.", f"$1$2{MASK}")
     cut = F.regexp_replace(masked, r"([.!?]+)[ \t\n\x0B\f\r]+", f"$1{CUT}")
     pieces = F.split(F.replace(cut, F.lit(MASK), F.lit(".")), CUT)
     return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")

@@ -17,10 +17,15 @@ def seeds(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
 
 
 def union_puts(*puts: DataFrame) -> DataFrame:
-    """Seeds, resumed queue and found links as one table of puts."""
-    out = puts[0]
-    for p in puts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    """Seeds, resumed queue and found links as one table of puts.
+
+    A table without ``put_seq``, or a row where it is null, was put before all others.
+    """
+    out = None
+    for p in puts:
+        order = F.coalesce(F.col("put_seq").cast("long"), F.lit(-1)) if "put_seq" in p.columns else F.lit(-1)
+        p = p.withColumn("put_seq", order.cast("long"))
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out
 
 

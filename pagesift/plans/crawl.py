@@ -19,7 +19,7 @@ from .materialize import materialize, spread
 class CrawlConfig:
     """Parameters of a crawl; the defaults are those of the documented example."""
 
-    user_agent: str = "MyCrawler"
+    user_agent: str = "pagesift"
     threshold: float = -0.5
     search_depth: int = 3
     extractor: str = "density"

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..operators.frontier import not_crawled
+from ..plans.materialize import materialize
 
 SCHEMAS = {
     "crawls": (
@@ -94,8 +95,11 @@ class CrawlStore:
         return t.groupBy("crawl_id").agg(F.max_by(F.struct(*columns), "last_change").alias("r")).select("crawl_id", "r.*")
 
     def save_documents(self, documents: DataFrame, crawl_id: int) -> None:
-        """Append relevant documents, stamped with the crawl; the title stays empty."""
-        out = documents
+        """Append relevant documents, stamped with the crawl; the title stays empty.
+
+        URLs that the crawl has saved already are left out, so a repeated run adds nothing twice.
+        """
+        out = documents.join(self.of_crawl("relevant_documents", crawl_id).select("url"), "url", "left_anti")
         for name, kind in (("title", "string"), ("raw_content", "string"), ("follow", "boolean"), ("last_fetched", "double")):
             if name not in out.columns:
                 out = out.withColumn(name, F.lit(None).cast(kind))
@@ -106,10 +110,13 @@ class CrawlStore:
         )
 
     def save_crawl(self, crawl_id: int, crawled: DataFrame, queue: DataFrame) -> None:
-        """Replace the crawl's crawled set and queue, and note the time of the change."""
-        once = crawled.groupBy("url").agg(F.max("last_fetched").alias("last_fetched"))
+        """Replace the crawl's crawled set and queue, and note the time of the change.
+
+        Both may come from :meth:`load_crawl` of the same store, so both are computed before anything is replaced.
+        """
+        once = materialize(crawled.groupBy("url").agg(F.max("last_fetched").alias("last_fetched")), "save-crawled")
+        left = materialize(not_crawled(queue.groupBy("url").agg(F.min("priority").alias("priority")), once), "save-queue")
         self._replace(once, "crawled_urls", crawl_id)
-        left = not_crawled(queue.groupBy("url").agg(F.min("priority").alias("priority")), self.of_crawl("crawled_urls", crawl_id))
         if self.of_crawl("queued_urls", crawl_id).isEmpty() or not left.isEmpty():
             self._replace(left, "queued_urls", crawl_id)
         else:  # a dynamic overwrite with no rows would leave the old partition
