@@ -232,7 +232,7 @@ def brute_lines(rows):
             if key := lines.normalised(line):
                 occ.setdefault(key, []).append((doc is None, doc or 0, at, n))
     keys = list(occ)
-    codes = [int(lines.simhashes(np.unique(hasher.words(k)[0]), np.array([0]))[0]) for k in keys]
+    codes = [int(lines.simhashes(hasher.words(k)[0], np.array([0]))[0]) for k in keys]
     group = list(range(len(keys)))
     for i in range(len(keys)):
         for j in range(i):
