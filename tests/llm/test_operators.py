@@ -232,11 +232,18 @@ def brute_lines(rows):
             if key := lines.normalised(line):
                 occ.setdefault(key, []).append((doc is None, doc or 0, at, n))
     keys = list(occ)
-    codes = [int(lines.simhashes(hasher.words(k)[0], np.array([0]))[0]) for k in keys]
+    codes = []
+    for key in keys:
+        seen, feats = {}, []
+        for word in hasher.words(key)[0].tolist():
+            feats.append((word + seen.get(word, 0) * 0x9E3779B97F4A7C15) % (1 << 64))
+            seen[word] = seen.get(word, 0) + 1
+        feats = hashing.mix(np.array(feats, dtype=np.uint64)).tolist()
+        codes.append(sum((2 * sum(f >> b & 1 for f in feats) > len(feats)) << b for b in range(64)))
     group = list(range(len(keys)))
     for i in range(len(keys)):
         for j in range(i):
-            if (codes[i] ^ codes[j]).bit_count() <= 3 and lines.similar(keys[i], keys[j], 0.8):
+            if (codes[i] ^ codes[j]).bit_count() <= lines.DISTANCE and lines.similar(keys[i], keys[j], 0.8):
                 group = [group[j] if g == group[i] else g for g in group]
     gone = set()
     for g in set(group):
@@ -254,6 +261,25 @@ def test_lines_equal_brute_force(spark, docs):
     assert lines.dedup_lines(table(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lines_in_all", [0, 1_000, 1 << 24, 1 << 36, 1 << 44])
+def test_keys_find_all_near_hashes(spark, lines_in_all):
+    rng = random.Random(lines_in_all)
+    codes = {rng.getrandbits(64) for _ in range(150)}
+    for code in list(codes):
+        flips = rng.sample(range(64), rng.randint(1, 6))
+        codes.add(code ^ sum(1 << b for b in flips))
+    codes = sorted(c - (1 << 64) if c >> 63 else c for c in codes)
+    df = spark.createDataFrame([(c,) for c in codes], "code long")
+    got = graph.components(lines.near_codes(df, lines_in_all, lines.DISTANCE, 32)).collect()
+    apart = {c: c for c in codes}
+    for a in codes:
+        for b in codes:
+            if a < b and ((a ^ b) % (1 << 64)).bit_count() <= lines.DISTANCE and apart[a] != apart[b]:
+                old, new = max(apart[a], apart[b]), min(apart[a], apart[b])
+                apart = {c: new if r == old else r for c, r in apart.items()}
+    assert {r.node: r.component for r in got} == {c: r for c, r in apart.items() if list(apart.values()).count(r) > 1}
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(400):
