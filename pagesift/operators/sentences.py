@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..plans.materialize import materialize
 from ..plans.unnest import unnest
 
 
@@ -80,7 +81,8 @@ def abbreviation_scores(docs: DataFrame, text: str = "text", threshold: float =
     Rows ``(type, with_period, without_period, score, is_abbreviation)`` for every
     type seen with a final period. The score is the log likelihood ratio of the
     pair (type, period) times factors for length, inner periods and uses without
-    period. Counting is one combined aggregation; only two totals reach the driver.
+    period. Texts are read once: the counts are written, and the two totals, which are all that
+    reaches the driver, are observed on the way.
     """
     words = docs.select(F.explode(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")), " ")).alias("word"))
     # a period counts at the end of a word, before closing signs
@@ -89,7 +91,7 @@ def abbreviation_scores(docs: DataFrame, text: str = "text", threshold: float =
     types = bare.groupBy(F.lower(F.regexp_replace("w", r"\.+$", "")).alias("type")).agg(
         F.count_if(ends).alias("with_period"), F.count_if(~ends).alias("without_period")
     )
-    totals = bare.agg(F.count("*").alias("n"), F.count_if(ends).alias("periods")).first()
+    types, totals = materialize(types, "types", n=F.sum(F.col("with_period") + F.col("without_period")), periods=F.sum("with_period"))
     n, periods = totals["n"], totals["periods"]
     if not n or not periods:
         return types.limit(0).select("type", "with_period", "without_period", F.lit(0.0).alias("score"), F.lit(False).alias("is_abbreviation"))

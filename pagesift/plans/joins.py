@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 BROADCAST_ROWS = 1_000_000
-HOT_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1_000
+SALTS = 16
 
 
 def lookup(many: DataFrame, one: DataFrame, key: str, how: str = "left", one_rows: int | None = None, heat: str | None = None) -> DataFrame:
-    """Join ``one`` (unique ``key``) to ``many``.
-
-    ``one_rows`` is the measured size of ``one``, NULL keys aside. Up to
-    BROADCAST_ROWS the table is broadcast and ``many`` does not move. Beyond it
-    the hottest keys, at most HOT_KEYS of them, are answered from a broadcast of
-    just their rows, and everything else by a shuffled join. Both ways are exact;
-    a hot key beyond the listed ones is only slower (AQE splits it). ``heat`` names a
-    column of ``one`` that tells how frequent a key is (it is dropped from the
-    result); without it the keys of ``many`` are counted.
+    """Join ``one`` (unique ``key``) to ``many``, which is read once whatever the way.
+
+    A table of narrow rows may come with ``one_rows``, its measured size; any other is measured here, rows
+    and bytes. Up to BROADCAST_ROWS and BROADCAST_BYTES it is broadcast and ``many`` does not move. Beyond that
+    one salted join is made: the rows of a key are dealt to SALTS places by a hash of their columns, and the
+    key's row of ``one`` goes to each. ``heat`` names a column of ``one`` that tells how
+    frequent a key is (it is dropped from the result); then only the HOT_KEYS most frequent keys and rows without a key are salted, else all. The
+    result is the same.
     """
+    size = 0
     if one_rows is None:
-        one_rows = one.count()
+        width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in one.columns])))
+        one_rows, size = one.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
     slim = one.drop(heat) if heat else one
-    if one_rows <= BROADCAST_ROWS:
+    if one_rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return many.join(F.broadcast(slim), key, how)
+    salt = _dealt(many)
+    copies = F.lit(SALTS)
     if heat:
-        hot = one.orderBy(F.desc(heat), key).limit(HOT_KEYS).select(key)
-    else:
-        hot = (
-            many.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") > HOT_ROWS) & F.col(key).isNotNull())
-            .orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key)
-        )
-    one = slim
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    marked = many.join(hot, key, "left")
-    is_hot = F.col("_hot").isNotNull()
-    hot_side = marked.filter(is_hot).drop("_hot").join(F.broadcast(one.join(hot.select(key), key, "left_semi")), key, how)
-    return hot_side.unionByName(marked.filter(~is_hot).drop("_hot").join(one, key, how))
+        hot = one.orderBy(F.desc(heat), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))
+        many = many.join(F.broadcast(hot), key, "left")  # at most HOT_KEYS rows
+        slim = slim.join(F.broadcast(hot), key, "left").withColumn("_copies", F.when(F.col("_hot"), SALTS).otherwise(1)).drop("_hot")
+        copies = F.col("_copies")
+        salt = F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(0)
+    many = many.withColumn("_salt", salt.cast("int")).drop("_hot")
+    slim = slim.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return many.join(slim, [key, "_salt"], how).drop("_salt")
+
+
+def _dealt(rows: DataFrame) -> Column:
+    """A place of each row by its content, so that a task that is run again deals as before."""
+    plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return F.pmod(F.xxhash64(*plain), F.lit(SALTS))

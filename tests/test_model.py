@@ -164,8 +164,21 @@ def test_lookup_ways_agree(spark, monkeypatch):
     one = spark.createDataFrame([("hot", 1, 9)] + [(f"k{i}", i, 1) for i in range(40)], "k string, v int, heat int")
     small = {tuple(r) for r in joins.lookup(many, one.drop("heat"), "k").select("id", "k", "v").collect()}
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
-    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    monkeypatch.setattr(joins, "HOT_KEYS", 3)
     counted = joins.lookup(many, one.drop("heat"), "k").select("id", "k", "v")
     known = joins.lookup(many, one, "k", heat="heat").select("id", "k", "v")
     assert {tuple(r) for r in counted.collect()} == small == {tuple(r) for r in known.collect()}
     assert counted.count() == known.count() == 301
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1_000)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 100)
+    assert {tuple(r) for r in joins.lookup(many, one.drop("heat"), "k").select("id", "k", "v").collect()} == small
+
+
+def test_lookup_reads_many_once(spark, monkeypatch, tmp_path):
+    spark.range(300).selectExpr("id", "concat('k', id % 7) AS k").write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    one = spark.createDataFrame([(f"k{i}", i, 1) for i in range(9)], "k string, v int, heat int")
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    for out in (joins.lookup(many, one, "k", heat="heat"), joins.lookup(many, one.drop("heat"), "k")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+        assert out.count() == 300
