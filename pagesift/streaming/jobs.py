@@ -1,4 +1,9 @@
-"""Streaming jobs: continuous scoring, dedupe, counters, rates, sinks."""
+"""Streaming jobs: continuous scoring, dedupe, counters, rates, sinks.
+
+Each job takes a ``trigger``, as keyword arguments of ``DataStreamWriter.trigger``; without one it takes what
+has arrived and stops. State that may outgrow an executor's heap needs the RocksDB state store
+(``spark.sql.streaming.stateStore.providerClass``).
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,9 @@ from ..operators import oneclass, sentences as S
 from ..operators.content import with_content
 
 
+NOW = {"availableNow": True}
+
+
 def page_stream(spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Files of a folder as a stream of pages (or any other table)."""
     reader = spark.readStream.schema(schema)
@@ -28,9 +36,14 @@ def score_pages(pages: DataFrame, model: oneclass.OneClassModel, settings: S.Tex
     return oneclass.document_relevance(oneclass.sentence_votes(terms, model, key), key)
 
 
-def start_scoring(pages: DataFrame, model, settings, out: str, checkpoint: str, threshold: float = -0.5, key: str = "page_id") -> StreamingQuery:
+def start_scoring(
+    pages: DataFrame, model, settings, out: str, checkpoint: str, threshold: float = -0.5, key: str = "page_id",
+    keep: tuple[str, ...] = (), trigger: dict | None = None,
+) -> StreamingQuery:
     """Score arriving pages with a fixed model and keep the relevant ones.
 
+    ``keep`` names further columns of the pages that go along, such as the URL; ``content`` stands for their main text.
+
     Each batch overwrites its own ``batch`` partition, so a batch that is run again
     after a failure leaves no duplicate.
     """
@@ -39,12 +52,17 @@ def start_scoring(pages: DataFrame, model, settings, out: str, checkpoint: str,
         if df.rdd.getNumPartitions() < cores:  # a few files per trigger would leave cores idle
             df = df.repartition(cores)
         scored = oneclass.relevant(score_pages(df, model, settings, key), threshold)
+        if keep:
+            own = with_content(df) if "content" in keep else df
+            scored = scored.join(own.select(key, *keep), key)
         scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or NOW)).start()
 
 
-def start_dedupe(urls: DataFrame, out: str, checkpoint: str, event_time: str | None = None, delay: str = "1 hour") -> StreamingQuery:
+def start_dedupe(
+    urls: DataFrame, out: str, checkpoint: str, event_time: str | None = None, delay: str = "1 hour", trigger: dict | None = None
+) -> StreamingQuery:
     """First sight of each URL. With an event time the state is bounded by the watermark."""
     if event_time:
         once = urls.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url"])
@@ -52,11 +70,11 @@ def start_dedupe(urls: DataFrame, out: str, checkpoint: str, event_time: str | N
         once = urls.dropDuplicates(["url"])
     return (
         once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**(trigger or NOW)).start()
     )
 
 
-def start_found_counter(documents: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def start_found_counter(documents: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Running number of relevant documents per crawl; each batch writes the counts it changed."""
     counts = documents.groupBy("crawl_id").agg(F.count("*").alias("relevant"))
 
@@ -65,7 +83,7 @@ def start_found_counter(documents: DataFrame, out: str, checkpoint: str) -> Stre
 
     return (
         counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or NOW)).start()
     )
 
 
@@ -74,7 +92,9 @@ def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("crawl_id").agg(F.max_by("relevant", "batch").alias("relevant"))
 
 
-def start_rate(downloads: DataFrame, out: str, checkpoint: str, ts: str = "ts", window: str = "1 second", delay: str = "10 seconds") -> StreamingQuery:
+def start_rate(
+    downloads: DataFrame, out: str, checkpoint: str, ts: str = "ts", window: str = "1 second", delay: str = "10 seconds", trigger: dict | None = None
+) -> StreamingQuery:
     """Downloads per window; a window is written once the watermark has passed it."""
     rates = (
         downloads.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"))
@@ -82,11 +102,13 @@ def start_rate(downloads: DataFrame, out: str, checkpoint: str, ts: str = "ts",
     )
     return (
         rates.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**(trigger or NOW)).start()
     )
 
 
-def start_state_sinks(rows: DataFrame, save: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, kind: str = "table") -> StreamingQuery:
+def start_state_sinks(
+    rows: DataFrame, save: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, kind: str = "table", trigger: dict | None = None
+) -> StreamingQuery:
     """One stream of mixed state rows into several sinks.
 
     ``rows`` has the column ``kind``; ``save`` maps its values to writers ``(df, batch_id)``,
@@ -98,4 +120,4 @@ def start_state_sinks(rows: DataFrame, save: dict[str, Callable[[DataFrame, int]
             write(df.filter(F.col(kind) == name).drop(kind), batch_id)
         df.unpersist()
 
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or NOW)).start()

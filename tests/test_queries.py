@@ -72,3 +72,19 @@ def test_plans_stay_narrow(spark):
     plan = content.with_content(pages).select("page_id", "content")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
     assert F is not None
+
+
+def test_scoring_delivers_documents(spark, tmp_path):
+    from pagesift.catalog import queries as Q
+    from pagesift.streaming import jobs
+
+    sf, model = "/root/testdata/sf0.001", Q._fit(spark, "/root/testdata/sf0.001", 0)
+    args = (model, Q.SETTINGS, f"{tmp_path}/out", f"{tmp_path}/mark", -1e9)
+    query = jobs.start_scoring(Q._stream(spark, sf, "pages"), *args, keep=("url", "content"), trigger={"processingTime": "1 second"})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.read.parquet(f"{tmp_path}/out").join(spark.read.parquet(f"{sf}/pages.parquet"), ["page_id", "url"])
+    assert got.count() == spark.read.parquet(f"{tmp_path}/out").count() > 0
+    assert got.filter("content <> ''").count() > 0
