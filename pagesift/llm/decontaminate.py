@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, an upper bound, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from .hashing import WordHasher
 from .rows import slices
 
 SEED_WORDS = 3
-COMMON = 4
 SLICE_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAKS = ArrayType(StructType([
@@ -35,28 +34,38 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def most(fits: np.ndarray) -> float:
+    """The largest sum over a run of places, each of which counts as a match or as a mismatch."""
+    sums = np.concatenate([[0.0], np.cumsum(np.where(fits, MATCH, MISMATCH))])
+    return float((sums - np.minimum.accumulate(sums)).max())
+
+
 class Seeds:
-    """Items as word numbers, and the sorted seeds that point into them."""
+    """Items as word numbers, and all their n-grams, sorted, as seeds that point into them."""
 
-    def __init__(self, items: list[tuple], counts: dict[int, int] | None, words: int = SEED_WORDS):
+    def __init__(self, items: list[tuple], words: int = SEED_WORDS):
         hasher = WordHasher()
-        self.words = words
         self.ids = [i for i, _ in items]
         self.texts = [hasher.words(t or "")[0] for _, t in items]
-        grams, owners, places = [], [], []
-        for n, item in enumerate(self.texts):
-            found = hasher.grams(item, words)
-            keep = np.arange(len(found))
-            if counts is not None and len(found):
-                # Rare beside the item's other grams: those of a leaked passage are all about as frequent, common phrases are not.
-                often = np.array([counts.get(int(g), 0) for g in found])
-                keep = np.flatnonzero(often <= COMMON * (np.median(often) + 1))
-            grams.append(found[keep]), owners.append(np.full(len(keep), n)), places.append(keep)
+        self.vocabularies = [np.unique(t, return_inverse=True) for t in self.texts]
+        grams = [hasher.grams(item, words) for item in self.texts]
+        owners = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        places = np.concatenate([np.empty(0, dtype=np.int64), *(np.arange(len(g)) for g in grams)])
         grams = np.concatenate([np.empty(0, dtype=np.uint64), *grams])
         order = np.argsort(grams, kind="stable")
-        self.grams = grams[order]
-        self.owners = np.concatenate([np.empty(0, dtype=np.int64), *owners])[order].astype(np.int64)
-        self.places = np.concatenate([np.empty(0, dtype=np.int64), *places])[order].astype(np.int64)
+        self.grams, self.owners, self.places = grams[order], owners[order], places[order]
+
+    def bound(self, n: int, passage: np.ndarray) -> float:
+        """No alignment of item ``n`` with the passage scores more.
+
+        A place whose word the other side lacks costs at least a mismatch or a gap (which cost the same) on either side.
+        """
+        known, at = self.vocabularies[n]
+        place = np.minimum(np.searchsorted(known, passage), len(known) - 1)
+        fits = known[place] == passage
+        there = np.zeros(len(known), dtype=bool)
+        there[place[fits]] = True
+        return min(most(there[at]), most(fits))
 
     def leaks(self, words: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple]:
         """``(item_id, score, first_word, end_word)`` of the items that a document holds."""
@@ -79,6 +88,8 @@ class Seeds:
             best = (0.0, 0, 0)
             for a, b in zip(np.concatenate([[0], breaks]), np.concatenate([breaks, [len(lows)]])):
                 first, last = int(lows[a]), int(highs[a:b].max())
+                if self.bound(owner[at], words[first:last]) < threshold * len(item):
+                    continue
                 score, stop = align(item, words[first:last])
                 if score > best[0]:
                     best = (score, first, first + stop)
@@ -89,32 +100,11 @@ class Seeds:
         return out
 
 
-def _frequencies(items: list[tuple], words: int):
-    """How often each n-gram of the items occurs in the documents of a task."""
-
-    def run(batches):
-        hasher, known = WordHasher(), None
-        for _, texts in slices(batches, "text"):
-            if known is None:
-                known = np.unique(Seeds(items, None, words).grams)
-                totals = np.zeros(len(known) + 1, dtype=np.int64)
-            for text in texts:
-                grams = hasher.grams(hasher.words(text)[0], words)
-                place = np.searchsorted(known, grams)
-                place[(place == len(known)) | (known[np.minimum(place, len(known) - 1)] != grams)] = len(known)
-                totals += np.bincount(place, minlength=len(known) + 1)
-        if known is not None:
-            some = np.flatnonzero(totals[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(totals[some])], names=["gram", "n"])
-
-    return run
-
-
-def _mark(items: list[tuple], counts: dict[int, int], words: int, threshold: float, text: str):
+def _mark(items: list[tuple], words: int, threshold: float, text: str):
     def run(batches):
         hasher, seeds = WordHasher(), None
         for part, texts in slices(batches, text):
-            seeds = seeds or Seeds(items, counts, words)
+            seeds = seeds or Seeds(items, words)
             found = []
             for t in texts:
                 numbers = hasher.words(t)[0]
@@ -132,14 +122,14 @@ def with_leaks(
 ) -> DataFrame:
     """The columns of ``docs`` and ``__leaks``: the test items that each text holds.
 
-    Seeds are the ``words``-word grams of an item, without those that are more than COMMON times as frequent in
-    the documents as the item's median gram. A text that holds a seed is aligned with the item around it by
-    Smith-Waterman over words: +1 for a match, -0.5 for a mismatch or a gap. A leak has a score of at least ``threshold``
+    Seeds are all ``words``-word grams of an item, however frequent. A text that holds a seed is aligned with the item
+    around it by Smith-Waterman over words: +1 for a match, -0.5 for a mismatch or a gap; where an upper bound
+    of the score is too low, it is not. A leak has a score of at least ``threshold``
     times the item's words; its score is given as that share, with the aligned words' first place and end.
+    What is found in a text depends on that text and the items alone.
 
     Items go to every task, in slices of about ``slice_bytes`` of text: a larger benchmark takes a
-    pass over the documents per slice. Documents are not shuffled; what is gathered are the
-    counts of the slice's own grams.
+    pass over the documents per slice. Documents are not shuffled, and nothing of them is gathered.
 
     A null or empty text has no leaks. An item without text or with fewer words than a seed is never found. Items that repeat are
     found each. Other columns pass through, whatever their names. No rows give no rows.
@@ -150,13 +140,10 @@ def with_leaks(
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     t = plain.columns[names.index(text)]
-    corpus = plain.select(F.col(t).cast("string").alias("text"))
     out = plain.withColumn("__leaks", F.array().cast(LEAKS))
     for n in range(count):
         some = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == n).orderBy("item_id", "text").collect()]
-        seen = corpus.mapInArrow(_frequencies(some, words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        counts = {r["gram"] % (1 << 64): r["n"] for r in seen}
         marked = StructType([*out.schema.fields, StructField("leaks", LEAKS)])
-        out = out.mapInArrow(_mark(some, counts, words, threshold, t), marked)
+        out = out.mapInArrow(_mark(some, words, threshold, t), marked)
         out = out.withColumn("__leaks", F.concat("__leaks", "leaks")).drop("leaks")
     return out.toDF(*names, "__leaks")

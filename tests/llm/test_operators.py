@@ -383,6 +383,27 @@ def test_leaks(spark, slice_bytes):
     assert df.count() == len(rows) and decontaminate.with_leaks(table(spark).limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 5, 1_000])
+def test_leaks_do_not_depend_on_copies(spark, copies):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    item = [word() for _ in range(48)]
+    edited = [word() if i % 4 == 1 and i % 24 != 1 else w for i, w in enumerate(item)]  # most trigrams are broken
+    rows = [(i, " ".join([word() for _ in range(20)] + edited)) for i in range(copies)]
+    found = decontaminate.with_leaks(table(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    assert 2 * len(grams(item) & grams(edited)) < len(grams(item)) and brute_align(item, edited) >= 24
+    assert found.filter("size(__leaks) = 1 AND __leaks[0].item_id = 7").count() == copies
+
+
+def test_bound_is_no_less_than_alignment():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        a, b = rng.integers(0, 9, rng.integers(1, 12)), rng.integers(0, 9, rng.integers(1, 25))
+        seeds = decontaminate.Seeds([(1, " ".join(f"w{x}" for x in a))])
+        assert seeds.bound(0, hashing.WordHasher().words(" ".join(f"w{x}" for x in b))[0]) >= brute_align(a, b)
+
+
 def test_pipeline(spark, tmp_path, docs, library):
     rows = corpus_pipeline.run(spark, SF).collect()
     left = {r.doc_id for r in rows}
