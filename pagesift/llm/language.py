@@ -16,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .hashing import mix
 from .rows import slices
 
 DIMENSIONS = 1_024
 TRAIN_ROWS = 20_000
 UNKNOWN = "und"
+CHANCE = 1e-6  # that a text unrelated to all languages reaches the noise level
+COMMON_SHARE = 1e-3  # of a language's training documents that hold a trigram for it to be ordinary there
+_PLACES = 1 << 22
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _WINDOW = 1 << 18
 
@@ -149,6 +153,18 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def training_rows(docs: DataFrame, train_rows: int, text: str, lang: str) -> tuple[DataFrame, dict[str, float]]:
+    """``lang, text`` of the rows that are learned from, and about how many there are of each language."""
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = {k: min(1.0, train_rows / n) for k, n in sizes.items()}
+    if any(s < 1 for s in shares.values()):
+        limits = docs.sparkSession.createDataFrame([(k, int(s * (1 << 40))) for k, s in shares.items()], "lang string, below long")
+        draw = F.shiftrightunsigned(F.xxhash64("text"), 24)
+        rows = rows.join(F.broadcast(limits), "lang").filter(draw <= F.col("below")).select("lang", "text")  # one row per language
+    return rows, {k: n * shares[k] for k, n in sizes.items()}
+
+
 def train_language(
     docs: DataFrame, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS, text: str = "text", lang: str = "lang"
 ) -> LanguageModel:
@@ -158,13 +174,7 @@ def train_language(
     text; a language with fewer is used whole. Only counts and prototypes, one row per language, reach
     the driver. Sums are rounded to integers, so their order does not matter.
     """
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    shares = {k: min(1.0, train_rows / n) for k, n in sizes.items()}
-    if any(s < 1 for s in shares.values()):
-        limits = docs.sparkSession.createDataFrame([(k, int(s * (1 << 40))) for k, s in shares.items()], "lang string, below long")
-        draw = F.shiftrightunsigned(F.xxhash64("text"), 24)
-        rows = rows.join(F.broadcast(limits), "lang").filter(draw <= F.col("below")).select("lang", "text")  # one row per language
+    rows, _ = training_rows(docs, train_rows, text, lang)
     partial = rows.mapInArrow(_train(dimensions), "lang string, sums array<long>")
     totals = partial.select("lang", F.posexplode("sums").alias("place", "v")).groupBy("lang", "place").agg(F.sum("v").alias("v")).collect()
     names = tuple(sorted({r["lang"] for r in totals}))
@@ -172,3 +182,65 @@ def train_language(
     for r in totals:
         table[names.index(r["lang"]), r["place"]] = r["v"]
     return LanguageModel(names, _unit(table))
+
+
+def noise_level(model: LanguageModel) -> float:
+    """The score that a text unrelated to all of the model's languages reaches with probability CHANCE at most.
+
+    Its cosine with a prototype is about normal, of variance 1 / dimensions, and the best of all languages is taken.
+    """
+    return float(np.sqrt(2 * np.log(max(len(model.languages), 1) / CHANCE) / model.prototypes.shape[1]))
+
+
+def _places(text: str) -> np.ndarray:
+    """The hashed places of the trigrams of a text, in order."""
+    plain = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not plain:
+        return np.empty(0, dtype=np.int64)
+    run = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    code = (run[:-2] << np.uint64(42)) | (run[1:-1] << np.uint64(21)) | run[2:]
+    return (mix(code) % np.uint64(_PLACES)).astype(np.int64)
+
+
+def _holding(batches):
+    """In how many documents of a language each place occurs, by slice."""
+    for part, texts in slices(batches, "text"):
+        found: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(part.column("lang").to_pylist(), texts):
+            found.setdefault(lang, []).append(np.unique(_places(text)))
+        for lang, places in found.items():
+            place, n = np.unique(np.concatenate(places), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), pa.array(place), pa.array(n)], names=["lang", "place", "n"])
+
+
+def ordinary_trigrams(docs: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """Sorted hashed places of the trigrams that are ordinary in some language.
+
+    Those are held by at least two of its training documents and at least COMMON_SHARE of them. There are at most a few
+    million places, whatever the input.
+    """
+    rows, sizes = training_rows(docs, train_rows, text, lang)
+    if not sizes:
+        return np.empty(0, dtype=np.int64)
+    least = docs.sparkSession.createDataFrame([(k, max(2.0, n * COMMON_SHARE)) for k, n in sizes.items()], "lang string, least double")
+    held = rows.mapInArrow(_holding, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    some = held.join(F.broadcast(least), "lang").filter("n >= least").select("place").distinct()  # one row per language
+    return np.array(sorted(r["place"] for r in some.collect()), dtype=np.int64)
+
+
+def _ordinary(known: np.ndarray, text: str, score: str, level: float):
+    def run(batches):
+        for part, texts in slices(batches, text):
+            shares = []
+            for value, t in zip(part.column(score).to_pylist(), texts):
+                places = _places(t) if value < level else ()
+                shares.append(float(np.isin(places, known).mean()) if len(places) else 0.0)
+            yield part.append_column("ordinary", pa.array(shares, pa.float64()))
+
+    return run
+
+
+def with_ordinary(docs: DataFrame, known: np.ndarray, text: str, score: str, level: float) -> DataFrame:
+    """The columns of ``docs`` and ``ordinary``: the share of ordinary trigrams in the text, 0 where the score is at least ``level``."""
+    schema = StructType([*docs.schema.fields, StructField("ordinary", DoubleType())])
+    return docs.mapInArrow(_ordinary(known, text, score, level), schema)

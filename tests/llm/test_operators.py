@@ -419,6 +419,19 @@ def test_pipeline(spark, tmp_path, docs, library):
     assert decontaminate.with_leaks(docs, bench).filter("size(__leaks) > 0").count() == 0
 
 
+def test_pipeline_rejects_what_is_like_no_language(spark, docs):
+    rng = random.Random(4)
+    scripts = [[chr(c) for c in span] for span in (range(0x430, 0x450), range(0x3B1, 0x3CA), range(0x4E00, 0x4F00), range(97, 123))]
+    noise = [" ".join("".join(rng.choices(s, k=rng.randint(2, 8))) for _ in range(n)) for s in scripts for n in (20, 100, 300) for _ in range(10)]
+    clean = [" ".join(r.text.split()[:n]) for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(20).collect() for n in (3, 10, 40)]
+    rows = [(10_000 + i, t, None) for i, t in enumerate(noise)] + [(20_000 + i, t, None) for i, t in enumerate(clean)]
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, df, SF).collect()}
+    assert not [i for i in kept if 10_000 <= i < 20_000]
+    assert len([i for i in kept if i >= 20_000]) == len(clean)
+    assert kept >= {r.doc_id for r in docs.filter(r"text RLIKE '\\p{L}'").collect()}
+
+
 def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     spark.createDataFrame([(1, None), (None, "some item of words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in (AWKWARD, []):
