@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pagesift.llm import chat, decontaminate, graph, hashing, jaccard, language, lines, neighbours, packing, tokencount, tokenfile, tokens, urls
+from pagesift.llm import chat, decontaminate, graph, hashing, jaccard, language, lines, neighbours, packing, tokencount, tokenfile, tokens, urls, wordtable
 from pagesift.plans.materialize import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -48,12 +48,12 @@ def test_encoder_equals_library(library):
     alphabet = "ab  \n\t'stdmrevlSTé ß1²½.,!?-<|endoftext|>Ā\r\x0b  日ªº×"
     texts = ["".join(random.choices(alphabet, k=random.randint(0, 30))) for _ in range(5_000)] + ["a<|endoftext|>b", ""]
     want = [ids_of(library, t).tobytes() for t in texts]
-    whole, tokens.KEPT_WORDS = tokens.KEPT_WORDS, 200
-    try:
-        assert tokens.JsonEncoder(PATH).encode(texts) == want
-    finally:
-        tokens.KEPT_WORDS = whole
+    small = tokens.JsonEncoder(PATH)
+    small.words = wordtable.WordTable(small._words, slots=256)  # filled and cleared many times
+    assert small.encode(texts) == want
     assert tokens.JsonEncoder(PATH).encode(texts) == want
+    long = "x" * 5_000 + " " + "é" * 40 + "\n" * 3_000 + "it's " * 4
+    assert tokens.JsonEncoder(PATH).encode([long, "", long]) == [ids_of(library, t).tobytes() for t in (long, "", long)]
 
 
 def test_language_held_out_accuracy(spark, docs):
