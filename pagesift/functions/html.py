@@ -7,6 +7,8 @@ in the common subset of Java and RE2 expressions.
 
 from __future__ import annotations
 
+import json
+from functools import cache
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -48,49 +50,34 @@ def without_marks(text: Column) -> Column:
     return F.translate(text, MARKS, "")
 
 
-def _names() -> Column:
-    """Named references (without ``&``) by their first two letters: short lists instead of one long one."""
+@cache
+def _reference_decoder() -> str:
+    """The function from text to text as SQL: one call into the JVM, where single columns would be hundreds.
+
+    Named references (without ``&``) stand in a literal that the optimizer parses once per plan, by their first two letters: short
+    lists instead of one long one. Zero, surrogates and numbers beyond Unicode give U+FFFD, marks give nothing.
+    """
     groups: dict[str, dict[str, str]] = {}
     for name, sign in sorted(html5.items()):
         if name.endswith(";"):
             groups.setdefault(name[:2], {})[name] = " " if name == "nbsp;" else sign.translate({ord(m): None for m in MARKS})
-    lists = [F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) for names in groups.values()]
-    return F.create_map(*[x for pair in zip(map(F.lit, groups), lists) for x in pair])
-
-
-def _character(number: Column) -> Column:
-    """The character of a number; zero, surrogates and numbers beyond Unicode give U+FFFD, marks give nothing."""
-    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
-    return F.when(bad, REPLACED).when(number.between(ord(MARKS[0]), ord(MARKS[-1])), "").otherwise(plain)
+    names = json.dumps(groups).replace("'", "\\u0027")
+    number = """case when regexp_like(head, r'^#0*[0-9]{1,7};') then cast(regexp_extract(head, r'^#0*([0-9]{1,7});', 1) as bigint)
+        when regexp_like(head, r'^#[xX]0*[0-9a-fA-F]{1,6};') then cast(conv(regexp_extract(head, r'^#[xX]0*([0-9a-fA-F]{1,6});', 1), 16, 10) as bigint) end"""
+    sign = f"""case when n is null or n = 0 or n between 55296 and 57343 or n > 1114111 then '{REPLACED}'
+        when n between {ord(MARKS[0])} and {ord(MARKS[-1])} then '' else decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') end"""
+    piece = f"""case when i = 0 then piece when head = '' then concat('&', piece)
+        when startswith(head, '#') then concat(get(transform(array({number}), n -> {sign}), 0), substring(piece, length(head) + 1))
+        else coalesce(concat(try_element_at(try_element_at(from_json(r'{names}', 'map<string,map<string,string>>'), substring(head, 1, 2)), head),
+            substring(piece, length(head) + 1)), concat('&', piece)) end"""
+    head = "regexp_extract(piece, r'^(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]{1,31};)', 0)"
+    pieces = f"transform(split(t, '&'), (piece, i) -> get(transform(array({head}), head -> {piece}), 0))"
+    return f"t -> if(contains(t, '&'), array_join({pieces}, ''), t)"
 
 
 def decode_entities(text: Column) -> Column:
     """Decode all named references of HTML that end in ``;`` and all numeric ones, in one pass."""
-    names = _names()
-
-    def piece_text(piece: Column, i: Column) -> Column:
-        def decoded(head: Column) -> Column:
-            rest = F.substring(piece, F.length(head) + F.lit(1), F.length(piece))
-            digits = F.regexp_extract(head, r"^#0*([0-9]{1,7});", 1)
-            hexa = F.regexp_extract(head, r"^#[xX]0*([0-9a-fA-F]{1,6});", 1)
-            number = F.when(digits != "", digits.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
-            beyond = head.startswith("#")  # more digits than any character has
-            sign = F.try_element_at(F.try_element_at(names, F.substring(head, 1, 2)), head)
-            return (
-                F.when((i == 0) | (head == ""), F.when(i == 0, piece).otherwise(F.concat(F.lit("&"), piece)))
-                .when(number.isNotNull(), F.concat(_character(number), rest))
-                .when(beyond, F.concat(F.lit(REPLACED), rest))
-                .when(sign.isNotNull(), F.concat(sign, rest))
-                .otherwise(F.concat(F.lit("&"), piece))
-            )
-
-        return let(F.regexp_extract(piece, r"^(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]{1,31};)", 0), decoded)
-
-    def decoded(t: Column) -> Column:
-        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), piece_text), "")).otherwise(t)
-
-    return let(text, decoded)
+    return F.get(F.call_function("transform", F.array(text), F.expr(_reference_decoder())), F.lit(0))
 
 
 def marked_text(html: Column) -> list[Column]:

@@ -81,8 +81,11 @@ def join_lines(text: Column) -> Column:
     As a pattern its repeated alternation overflows the thread stack at some thousand line ends in a row, and its
     leading blanks are tried anew at each blank of a run. Cut at line ends, the blanks before each are trimmed in one scan.
     """
-    pieces = F.split(text, r"[\r\n]+", -1)
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == F.size(pieces) - 1, p).otherwise(F.rtrim(p, F.lit("\t ")))), " ")
+
+    def trimmed(pieces: Column) -> Column:
+        return F.transform(pieces, lambda p, i: F.when(i == F.size(pieces) - 1, p).otherwise(F.rtrim(p, F.lit("\t "))))
+
+    return F.array_join(let(F.split(text, r"[\r\n]+", -1), trimmed), " ")
 
 
 def apply_rules(text: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -22,6 +22,29 @@ def test_long_runs(spark, run):
     assert time.perf_counter() - start < 5
 
 
+def test_many_lines(spark):
+    """Texts of many short lines: every step that a text goes through is linear in them."""
+    rules = T.usable_rules(spark, T.DEFAULT_RULES)
+
+    def seconds(lines: int, out) -> float:
+        start = time.perf_counter()
+        assert spark.range(1).select(out(F.repeat(F.lit("ein wort.\n"), lines))).first()[0] == lines
+        return time.perf_counter() - start
+
+    joined = lambda t: F.floor(F.length(T.apply_rules(t, rules)) / 10).cast("int")
+    seconds(10, joined)
+    assert seconds(1_000_000, joined) < 5
+    assert seconds(100_000, lambda t: F.size(T.sentences(T.apply_rules(t, rules)))) < 10
+
+
+def test_reference_table_is_cheap(spark):
+    H.decode_entities(F.col("t"))
+    start = time.perf_counter()
+    for _ in range(10):
+        H.decode_entities(F.col("t"))
+    assert (time.perf_counter() - start) / 10 < 0.05
+
+
 def test_line_rule_is_the_pattern(spark):
     rows = ["a \t\n\n b", "\n", "", "a\r\rb \r\n c  ", " \n \n ", None]
     df = spark.createDataFrame([(r,) for r in rows], "t string")

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagesift.functions import html as H, urls as U
@@ -105,3 +108,41 @@ def test_robots_rules_agree_with_the_standard_library(spark):
         got = {r.url: r.allowed for r in D.with_allowed(urls, D.robots_rules(lines, agent)).collect()}
         assert got == {u: parser.can_fetch(agent, u) for u in got}, agent
     assert U.quote is not None
+
+
+def walked(start, target):
+    """URLs of one chain in order, and how it ends."""
+    seen = [start]
+    while True:
+        if seen[-1] not in target:
+            return seen, "page"
+        if target[seen[-1]] in seen:
+            return seen, "loop"
+        seen.append(target[seen[-1]])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_redirects_equal_a_walk(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    target = {f"u{i}": f"u{rng.randrange(n)}" for i in range(n) if rng.random() < (0.6, 0.9, 1.0, 1.0)[seed]}
+    if seed == 3:  # one cycle of all, and a way into it; ascending names never change the least one
+        target = {f"u{i:03}": f"u{(i + 1) % 37:03}" for i in range(37)} | {f"v{i:03}": f"v{i + 1:03}" for i in range(20)} | {"v020": "u005"}
+    starts = [*target, "elsewhere", None, "u1"]
+    df = spark.createDataFrame([*target.items(), ("u0", None), (None, "u1")], "url string, target string")
+    got = {(r.start, r.hop): (r.url, r.outcome) for r in D.follow_redirects(spark.createDataFrame([(s,) for s in starts], "url string"), df).collect()}
+    want = {}
+    for s in {s for s in starts if s}:
+        urls, end = walked(s, target)
+        want |= {(s, i): (u, end if i == len(urls) - 1 else None) for i, u in enumerate(urls)}
+    assert got == want
+
+
+def test_long_redirect_chain_takes_few_rounds(spark):
+    n = 10_000
+    df = spark.range(n).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.concat(F.lit("u"), (F.col("id") + 1).cast("string")).alias("target"))
+    jumps, left = D._jumps(df.select("url", F.col("target").alias("to"), F.col("url").alias("low"), F.lit(0).alias("tail"), F.lit("").alias("outcome")))
+    assert len(jumps) == 15 and left is None  # 2^14 hops, not 10,000
+    rows = D.follow_redirects(spark.createDataFrame([("u0",)], "url string"), df)
+    last = rows.orderBy(F.desc("hop")).first()
+    assert rows.count() == n + 1 and (last.hop, last.url, last.outcome) == (n, f"u{n}", "page")
