@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import html as H, urls as U
-from ..plans.joins import lookup
+from ..plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup
 from ..plans.materialize import materialize
 
 
@@ -52,8 +52,9 @@ def follow_redirects(starts: DataFrame, redirects: DataFrame) -> DataFrame:
     again to list its URLs. No row grows with its chain.
     """
     edges = redirects.filter(F.col("url").isNotNull() & F.col("target").isNotNull()).groupBy("url").agg(F.min("target").alias("to"))
-    edges, seen = materialize(edges, "redirects", n=F.count("*"))
-    ways, found = materialize(_ways(edges, seen["n"] or 0), "ways", long=F.count_if(F.col("n").isNull()))
+    edges, seen = materialize(edges, "redirects", n=F.count("*"), size=F.sum(F.octet_length("url") + F.octet_length("to")))
+    n_edges = seen["n"] or 0 if (seen["size"] or 0) <= BROADCAST_BYTES else BROADCAST_ROWS + 1
+    ways, found = materialize(_ways(edges, n_edges), "ways", long=F.count_if(F.col("n").isNull()))
     chains = starts.select(F.col("url").alias("start")).filter("start IS NOT NULL").distinct().withColumn("url", F.col("start"))
     whole = ways.select("url", "n", "outcome")
     jumps: list[DataFrame] = []
@@ -122,8 +123,9 @@ def _jumps(edges: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
     edges = materialize(edges, "edges")
     goes_on = edges.select(F.col("url").alias("to"), F.lit(False).alias("ended"))
     first = edges.join(goes_on, "to", "left").select("url", "to", F.lit(1).cast("long").alias("dist"), F.coalesce("ended", F.lit(True)).alias("ended"), "low", "tail", "outcome")
-    one, seen = materialize(first, "jump", open=F.count_if(~F.col("ended")), n=F.count("*"))
-    jumps, landed, left, n = [one], None, seen["open"], seen["n"]
+    one, seen = materialize(first, "jump", open=F.count_if(~F.col("ended")), n=F.count("*"), size=F.sum(F.octet_length("url") + F.octet_length("to") + F.octet_length("low")))
+    jumps, landed, left = [one], None, seen["open"]
+    n = seen["n"] if (seen["size"] or 0) <= BROADCAST_BYTES else BROADCAST_ROWS + 1
     while left:
         last = jumps[-1]
         second = last.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in ("to", "dist", "ended", "low", "tail", "outcome")])

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.materialize import materialize, scratch_path
+from ..plans.buckets import Levels, bucketed
 from .frontier import expandable, own_priority
 
 
+def wave(edges: DataFrame, new: DataFrame, known: Levels, threshold: float, search_depth: int) -> DataFrame:
+    """The labels ``(url, label)`` that get better when the pages of ``new`` pass theirs on.
+
+    ``edges(src, dst, type, relevance)`` and the known labels are bucketed: they are joined where they lie. What is
+    shuffled are the new labels and, combined per URL before, their finds.
+    """
+    own = own_priority(F.col("relevance"), F.col("label"), threshold)
+    found = edges.join(new.select(F.col("url").alias("src"), "label"), "src").withColumn("own", own)
+    found = found.filter(expandable(F.col("own"), F.col("type"), search_depth))
+    return known.better(found.groupBy(F.col("dst").alias("url")).agg(F.min("own").alias("label")))
+
+
 def focused_traversal(
     seeds: DataFrame,
     edges: DataFrame,
@@ -24,47 +36,22 @@ def focused_traversal(
     ``crawled`` URLs are left out from the start. A page whose label falls
     is expanded again with the better label, and never scored again.
 
-    Only URLs and small numbers move. A wave joins the new labels with the edges of
-    their pages and writes only labels that got better; the waves end because labels
-    can only fall.
+    Only URLs and small numbers move, and the evaluation is semi-naive: edges are written once, bucketed by source,
+    labels bucketed by URL in tables that are merged as they grow, and a wave follows the labels that got better in the
+    one before. The waves end because labels can only fall.
     """
-    spark = seeds.sparkSession
     page = nodes.select("url", F.col("type"), F.col("relevance"))
-    out = materialize(
-        edges.select("src", "dst").filter(F.col("dst").isNotNull())
-        .join(page.withColumnRenamed("url", "src"), "src"),
-        "edges",
-    )
+    out = edges.select("src", "dst").filter(F.col("dst").isNotNull()).join(page.withColumnRenamed("url", "src"), "src")
     start = seeds.groupBy("url").agg(F.min("priority").alias("label"))
     if crawled is not None:
         start = start.join(crawled.select("url"), "url", "left_anti")
-        out = materialize(out.join(crawled.select(F.col("url").alias("dst")), "dst", "left_anti"), "edges")
-    base = scratch_path(spark, "waves")
-    paths = [f"{base}/0"]
-    new = materialize(start, "wave", paths[0])
-    while True:
-        own = own_priority(F.col("relevance"), F.col("label"), threshold)
-        found = (
-            out.join(new.select(F.col("url").alias("src"), "label"), "src")
-            .withColumn("own", own)
-            .filter(expandable(F.col("own"), F.col("type"), search_depth))
-        )
-        known = spark.read.schema(new.schema).parquet(*paths)
-        # One aggregation instead of a join with the state: both sides meet by URL, and
-        # the many finds of a popular URL are combined before the shuffle.
-        none = F.lit(None).cast("int")
-        best = (
-            known.select("url", F.col("label").alias("old"), none.alias("label"))
-            .unionByName(found.select(F.col("dst").alias("url"), none.alias("old"), F.col("own").alias("label")))
-            .groupBy("url").agg(F.min("old").alias("old"), F.min("label").alias("label"))
-            .filter(F.col("label").isNotNull() & (F.col("old").isNull() | (F.col("label") < F.col("old"))))
-        )
-        path = f"{base}/{len(paths)}"
-        new, seen = materialize(best.select("url", "label"), "wave", path, n=F.count(F.lit(1)))
-        if not seen["n"]:
-            break
-        paths.append(path)
-    return spark.read.schema(new.schema).parquet(*paths).groupBy("url").agg(F.min("label").alias("label"))
+        out = out.join(crawled.select(F.col("url").alias("dst")), "dst", "left_anti")
+    out = bucketed(out, "src", "edges")
+    known = Levels("url", "label")
+    new, count = known.add(start)
+    while count:
+        new, count = known.add(wave(out, new, known, threshold, search_depth), dealt=True)
+    return known.all() if known.tables else new
 
 
 def crawl_outcome(labels: DataFrame, nodes: DataFrame, threshold: float = -0.5) -> DataFrame:

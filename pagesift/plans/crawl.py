@@ -12,6 +12,7 @@ from ..functions import html as H, urls as U
 from ..operators import directives, features, frontier, links, oneclass, report, sentences as S, traversal
 from ..operators.content import with_content
 from ..sources.state import CrawlStore
+from .bitmaps import may_be_in
 from .materialize import materialize, spread
 
 
@@ -51,6 +52,7 @@ class FocusedCrawl:
         self.spark, self.store, self.model, self.config = spark, store, model, config
         self.crawl_id: int | None = None
         self.crawled = self.queue = None
+        self.pages_scored = 0
 
     def initialize(self, crawl_id: int | None = None, crawl_settings: dict | None = None, start_urls=()) -> int:
         """Start a new crawl or load one; seeds enter the frontier at priority 1."""
@@ -64,79 +66,97 @@ class FocusedCrawl:
         self.queue = materialize(frontier.unique_frontier(frontier.union_puts(*puts)), "queue")
         return crawl_id
 
-    def _prepared(self, pages: DataFrame, robots_lines: DataFrame | None) -> DataFrame:
-        """Page rows with links and main text; the HTML is left behind."""
-        cfg = self.config
-        for name, kind in (("last_fetched", "double"), ("text", "string")):
-            if name not in pages.columns:
-                pages = pages.withColumn(name, F.lit(None).cast(kind))
-        p = spread(pages.select("url", "content_type", "html", "last_fetched", "text"))
+    def _facts(self, pages: DataFrame, robots_lines: DataFrame | None) -> DataFrame:
+        """What headers, meta tags and robots rules say of each page; no text and no link is looked at."""
+        p = spread(pages.select("url", "content_type", "html", "last_fetched"))
         p = p.withColumn("type", H.document_type(F.col("content_type"), self.settings["search_pdfs"]))
-        p = directives.with_refresh(directives.with_directive(p))
+        p = directives.with_refresh(directives.with_directive(p)).drop("html", "content_type")
         p = p.withColumn("document", F.col("type").isNotNull() & (F.col("directive") >= 0) & F.col("refresh").isNull())
         p = p.withColumn("follow", F.col("directive") == 1).withColumn("host", U.host(F.col("url")))
         if robots_lines is None:
-            p = p.withColumn("allowed", F.lit(True))
-        else:
-            site = "host" if cfg.per_host_robots else None
-            p = directives.with_allowed(p, directives.robots_rules(robots_lines, cfg.user_agent, site), site)
-        p = links.with_links(p)
-        p = with_content(p, cfg.extractor)
-        return p.withColumn("content", F.when(F.col("type") == "html", F.col("content")).otherwise(F.coalesce("text", F.lit("")))).drop("text", "html")
+            return p.withColumn("allowed", F.lit(True))
+        site = "host" if self.config.per_host_robots else None
+        return directives.with_allowed(p, directives.robots_rules(robots_lines, self.config.user_agent, site), site)
+
+    def _extracted(self, pages: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+        """Links and main text of the wanted pages; the HTML is left behind.
+
+        A bitmap of the wanted URLs stands below the extraction, so other pages are hardly ever looked into and no HTML
+        moves; the exact test comes after it, on slim rows.
+        """
+        p = may_be_in(spread(pages.select("url", "content_type", "html", "text")), "url", wanted, n_wanted)
+        p = p.withColumn("type", H.document_type(F.col("content_type"), self.settings["search_pdfs"]))
+        p = with_content(links.with_links(p), self.config.extractor)
+        content = F.when(F.col("type") == "html", F.col("content")).otherwise(F.coalesce("text", F.lit("")))
+        return p.select("url", "links", content.alias("content")).join(wanted, "url", "left_semi")
 
     def run(self, pages: DataFrame, robots_lines: DataFrame | None = None) -> DataFrame:
         """Crawl until the frontier holds only URLs that are not among the pages.
 
-        Saves relevant documents, and returns the outcome per URL. A URL without page
-        stays queued; a page refused by robots rules, type or directive counts as crawled.
+        Saves relevant documents, crawled URLs and the new frontier in one step, and returns the outcome per URL. A URL without page
+        stays queued; a page refused by robots rules, type or directive counts as crawled. Pages that were crawled
+        before or may not be fetched are neither extracted nor scored, unless a redirect leads to them;
+        ``pages_scored`` tells how many were.
         """
         cfg = self.config
-        prepared = materialize(self._prepared(pages, robots_lines), "pages")
-        docs = prepared.filter("document")
-        terms = S.with_terms(S.to_sentences(docs.select("url", F.col("content").alias("text")), "url", cfg.text, keep_empty=True), cfg.text)
+        for name, kind in (("last_fetched", "double"), ("text", "string")):
+            if name not in pages.columns:
+                pages = pages.withColumn(name, F.lit(None).cast(kind))
+        facts = materialize(self._facts(pages, robots_lines), "facts")
+        fresh = frontier.not_crawled(facts.filter("allowed"), self.crawled)
+        # Robots rules judge the URL that is popped, not the hops behind it.
+        moving = facts.filter("type = 'html' AND directive >= 0 AND target IS NOT NULL")
+        hops = directives.follow_redirects(fresh.join(moving.select("url"), "url", "left_semi").select("url"), moving.select("url", "target"))
+        hops = materialize(hops, "hops")
+        moved = hops.filter("outcome = 'page' AND hop > 0").select("start", F.col("url").alias("final"))
+        wanted = fresh.filter("document").select("url").unionByName(moved.select(F.col("final").alias("url")))
+        wanted, seen = materialize(wanted.distinct().join(facts.filter("document").select("url"), "url", "left_semi"), "wanted", n=F.count("*"))
+        extracted, scored = materialize(self._extracted(pages, wanted, seen["n"] or 0), "pages", n=F.count("*"))
+        self.pages_scored = scored["n"] or 0
+        terms = S.with_terms(S.to_sentences(extracted.select("url", F.col("content").alias("text")), "url", cfg.text, keep_empty=True), cfg.text)
         relevance = oneclass.document_relevance(oneclass.sentence_votes(terms, self.model, "url"), "url")
-        nodes = materialize(docs.select("url", "type", "allowed").join(relevance, "url"), "nodes")
+        docs = facts.filter("document").select("url", "type", "allowed", "follow", "last_fetched")
+        nodes = materialize(docs.join(relevance, "url"), "nodes")
         scope = links.in_scope(F.col("l.link_class"), self.settings["search_singledomain"], self.settings["search_subdomains"])
-        edges = docs.select("url", "follow", "allowed", F.explode("links").alias("l")).filter(scope)
+        edges = extracted.select("url", F.explode("links").alias("l")).filter(scope).select(F.col("url").alias("src"), F.col("l.link").alias("dst"))
         if cfg.respect_nofollow:
-            edges = edges.filter("follow")
-        edges = edges.select(F.col("url").alias("src"), F.col("l.link").alias("dst"), "allowed")
-        # Robots rules judge the URL that is popped, not the hops behind it.
-        moving = prepared.filter("type = 'html' AND directive >= 0 AND target IS NOT NULL")
-        hops = directives.follow_redirects(moving.filter("allowed").select("url"), moving.select("url", "target"))
-        moved = materialize(
-            hops.filter("outcome = 'page' AND hop > 0").select("start", F.col("url").alias("final")), "redirected"
-        )
+            edges = edges.join(docs.filter("follow").select(F.col("url").alias("src")), "src", "left_semi")
+        own = edges.join(docs.filter("allowed").select(F.col("url").alias("src")), "src", "left_semi")
         all_nodes = nodes.filter("allowed").select("url", "type", "relevance").unionByName(
             moved.join(nodes.withColumnRenamed("url", "final"), "final").select(F.col("start").alias("url"), "type", "relevance")
         )
-        all_edges = edges.filter("allowed").select("src", "dst").unionByName(moved.join(edges.withColumnRenamed("src", "final"), "final").select(F.col("start").alias("src"), "dst"))
+        all_edges = own.unionByName(moved.join(edges.withColumnRenamed("src", "final"), "final").select(F.col("start").alias("src"), "dst"))
         labels = materialize(
             traversal.focused_traversal(self.queue.select("url", "priority"), all_edges, all_nodes, cfg.threshold, cfg.search_depth, self.crawled),
             "labels",
         )
         # A refresh without target is an error: that page is neither a document nor crawled.
-        fetched = prepared.filter("refresh IS NULL OR target IS NOT NULL").select("url", "last_fetched")
+        fetched = facts.filter("refresh IS NULL OR target IS NOT NULL").select("url", "last_fetched")
         visited = labels.join(fetched, "url")
         via = visited.select(F.col("url").alias("start")).join(hops.select("start", "url"), "start").select("url")
         now = time.time()
         hop_rows = via.distinct().select("url", F.lit(now).alias("last_fetched"))
         new_crawled = visited.select("url", F.coalesce("last_fetched", F.lit(now)).alias("last_fetched")).unionByName(hop_rows)
-        direct = visited.select("url").join(prepared.filter("allowed").select("url"), "url")
-        found = oneclass.relevant(nodes, cfg.threshold).join(direct.unionByName(via).distinct(), "url").select("url", "relevance")
-        found = found.join(self.crawled.select("url"), "url", "left_anti")
+        direct = visited.select("url").join(facts.filter("allowed").select("url"), "url")
+        found = oneclass.relevant(nodes, cfg.threshold).join(direct.unionByName(via).distinct(), "url", "left_semi")
+        found = materialize(frontier.not_crawled(found, self.crawled), "found")
         # Only the found pages meet their HTML again.
-        found = materialize(found, "found")
-        raw = pages.select("url", F.col("html").alias("raw_content")).join(found, "url")
-        texts = prepared.select("url", "last_fetched", "type", "content", "follow").join(found.select("url"), "url")
-        self.store.save_documents(texts.join(raw, "url"), self.crawl_id)
+        raw = pages.select("url", F.col("html").alias("raw_content")).join(found.select("url", "last_fetched", "type", "follow", "relevance"), "url")
+        new_crawled = materialize(new_crawled, "new-crawled")
         self.crawled = materialize(self.crawled.unionByName(new_crawled).groupBy("url").agg(F.max("last_fetched").alias("last_fetched")), "crawled")
         left = labels.select("url", F.col("label").alias("priority"))
         self.queue = materialize(frontier.not_crawled(left, self.crawled), "queue")
+        crawl = F.lit(self.crawl_id).cast("long").alias("crawl_id")
+        source = f"crawl-{self.crawl_id}"
+        self.store.save_batch(
+            source, self.store.last_batch(source) + 1, extracted.select("url", "content").join(raw, "url").select("*", crawl),
+            new_crawled.select("*", crawl), self.queue.select("*", crawl),
+        )
         return traversal.crawl_outcome(labels, all_nodes, cfg.threshold)
 
     def finished(self) -> bool:
-        return frontier.not_crawled(self.queue, self.crawled).isEmpty()
+        """Is nothing queued that was not crawled? A run leaves no page unscored."""
+        return frontier.is_finished(self.queue, self.crawled, self.queue.limit(0))
 
     def report(self) -> DataFrame:
         """Crawled, queued, to-parse and relevant counts of this crawl."""

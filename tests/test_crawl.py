@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 import pagesift
 from pagesift.operators import frontier as FR, report, traversal as TR
+from pagesift.plans import bitmaps
+from pagesift.plans.buckets import Levels, bucketed
 from pagesift.plans.materialize import scratch_path
 from pagesift.sources import readers
 from pagesift.sources.state import CrawlStore, resume_queue
@@ -170,11 +172,45 @@ def test_focused_crawl(spark):
     assert crawled == {f"{h}{p}" for p in ("/", "/rel", "/dull", "/d2", "/move", "/final", "/blocked", "/hidden", "/pdf", "/hop", "/blocked/sub")}
     assert {r.url: r.priority for r in crawl.queue.collect()} == {f"{h}/end": 1}
     assert not crawl.finished()
+    # Neither the blocked page nor those without document are extracted; unreached ones are, since reaching needs scores.
+    assert crawl.pages_scored == 9
+    state = store.load_crawl(crawl_id)  # saved with the documents, before any stop
+    assert {r.url for r in state.crawled.collect()} == crawled and {r.url for r in state.queue.collect()} == {f"{h}/end"}
     r = crawl.report().first()
     assert (r.crawled, r.queued, r.parse_queued, r.relevant) == (11, 1, 0, 4)
     crawl.stop()
     again = pagesift.FocusedCrawl(spark, store, model, config)
     again.initialize(crawl_id=crawl_id)
-    again.run(spark.createDataFrame([page(f"{h}/end", ["/", "/last"], True)], pages.schema))
+    again.run(spark.createDataFrame([page(f"{h}/end", ["/", "/last"], True), *rows], pages.schema), robots)
+    # Of all pages only the new one, one that was never reached and that behind no crawled URL are looked into.
+    assert again.pages_scored == 4
     assert {r.url for r in again.queue.collect()} == {f"{h}/last"}
     assert store.of_crawl("relevant_documents", crawl_id).count() == 5
+
+
+def test_waves_leave_edges_where_they_lie(spark):
+    """From the second wave on nothing of the edges or the known labels is shuffled; old labels are merged."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}", "html", 1.0) for i in range(40)], "src string, dst string, type string, relevance double")
+        out, known = bucketed(edges, "src", "edges"), Levels("url", "label", most=3)
+        new, _ = known.add(spark.createDataFrame([("u0", 1)], "url string, label int"))
+        for _ in range(9):
+            new, n = known.add(TR.wave(out, new, known, -0.5, 3), dealt=True)
+            assert n == 1 and len(known.tables) <= 3
+        plan = TR.wave(out, new, known, -0.5, 3)._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.split("\n") if "Scan parquet" in line and "Bucketed: true" in line]
+        assert len(scans) >= 2, plan
+        # The only exchanges are of the new labels (by source) and of their finds (by URL).
+        assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(dst" in plan, plan
+        assert {r.url for r in known.all().collect()} == {f"u{i}" for i in range(10)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bitmaps_lose_no_key(spark):
+    keys = spark.range(0, 5_000, 3).withColumnRenamed("id", "k").select(F.concat(F.lit("u"), F.col("k").cast("string")).alias("url"))
+    rows = spark.range(5_000).select("id", F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+    kept = {r.id for r in bitmaps.may_be_in(rows, "url", keys, 1_667).collect()}
+    assert kept >= set(range(0, 5_000, 3)) and len(kept) < 1_667 + 0.1 * 3_333
+    assert bitmaps.may_be_in(rows, "url", keys.limit(0), 0).count() == 0
