@@ -6,17 +6,19 @@ from them by plain expressions, so that the work grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html as H, text as T, urls as U
 from ..operators import directives, features, frontier, kernels, links, oneclass, report, sentences as S, traversal
 from ..operators.content import page_blocks as blocks_of, with_content
-from ..plans.crawl import training_terms
+from ..plans.crawl import CrawlConfig, FocusedCrawl, training_terms
 from ..plans.materialize import materialize, scratch_path, spread
+from ..plans.ranking import with_neighbours
 from ..plans.unnest import unnest
 from ..sources import readers
 from ..sources.state import CrawlStore, resume_queue
 from ..streaming import jobs
+from ..streaming.seen import SeenUrls
 
 SETTINGS = S.TextSettings()
 NU, SHARE, THRESHOLD, DEPTH = 0.05, 0.8, -0.5, 3
@@ -134,8 +136,7 @@ def meta_robots(spark, sf_dir):
 def _next_in_host(spark, sf_dir) -> DataFrame:
     """Slim pages with host, next and next but one page of the host."""
     p = read(spark, sf_dir, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"))
-    w = W.partitionBy("host").orderBy("page_id")
-    return p.select("*", F.lead("url", 1).over(w).alias("next1"), F.lead("url", 2).over(w).alias("next2"), F.lag("url", 1).over(w).alias("prev1"))
+    return with_neighbours(p, "host", "page_id", {"next1": ("url", 1), "next2": ("url", 2), "prev1": ("url", -1)})
 
 
 def _with_refresh(spark, sf_dir) -> DataFrame:
@@ -228,6 +229,36 @@ def tokens(spark, sf_dir):
     return unnest(S.with_tokens(_sentences(spark, sf_dir)), ["doc_id", "sent_no"], "tokens", "token", "pos")
 
 
+def period_words(spark, sf_dir):
+    """The second stage: words that begin sentences, and pairs across a period that ends none."""
+    return S.period_words(documents(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+def _stopword_file(spark, sf_dir) -> str:
+    """A stopword file as they are written: the words that begin the documents, some as entries that match no word."""
+    path = scratch_path(spark, "stopwords")
+    first = F.regexp_extract("text", r"^([a-zA-ZäöüÄÖÜ]+)", 1)
+    entry = F.when(F.col("doc_id") % 5 == 0, F.concat(first, F.lit("-x"))).otherwise(first)
+    read(spark, sf_dir, "documents").select(entry.alias("value")).filter("value <> ''").write.text(path)
+    return path
+
+
+def stopword_table(spark, sf_dir):
+    """Tokens without the words of a stopword file, by way of the table."""
+    table = readers.stopwords(spark, _stopword_file(spark, sf_dir))
+    settings = S.TextSettings(stopwords=table)
+    return unnest(S.with_tokens(_sentences(spark, sf_dir), settings), ["doc_id", "sent_no"], "tokens", "token", "pos")
+
+
+def training_csv(spark, sf_dir):
+    """Training texts by way of a headerless CSV, with how often each occurs."""
+    path = scratch_path(spark, "csv")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    options = {"escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(path)
+    return readers.training_texts(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
 def stem_dictionary(spark, sf_dir):
     german = spread(read(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", "text"))
     return S.stem_dictionary(S.to_sentences(german, "doc_id"))
@@ -257,14 +288,11 @@ def training_summary(spark, sf_dir):
     return features.training_summary(terms, features.term_statistics(terms), features.vocabulary(terms, SHARE))
 
 
-def _german_terms(spark, sf_dir):
-    german = spread(read(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", "text"))
-    return S.with_terms(S.to_sentences(german, "doc_id"))
-
-
 def _vectors(spark, sf_dir, kind):
+    """All documents, in the vocabulary of the German training texts."""
     train = _training(spark, sf_dir)
-    found = features.vectors(_german_terms(spark, sf_dir), features.vocabulary(train, SHARE), "doc_id", kind, train.count())
+    terms = S.with_terms(_sentences(spark, sf_dir))
+    found = features.vectors(terms, features.vocabulary(train, SHARE), "doc_id", kind, train.count())
     return features.only_known(found).select("doc_id", "sent_no", "term_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -329,7 +357,7 @@ def kernel_scores(spark, sf_dir):
 
 def _page_terms(spark, sf_dir):
     texts = with_content(pages(spark, sf_dir)).select("page_id", F.col("content").alias("text"))
-    return S.with_terms(S.to_sentences(texts, "page_id", SETTINGS, keep_empty=True), SETTINGS)
+    return S.with_terms(S.to_sentences(texts, "page_id", SETTINGS, keep_empty=True), SETTINGS, "page_id")
 
 
 def sentence_votes(spark, sf_dir):
@@ -370,6 +398,16 @@ def frontier_unique(spark, sf_dir):
     return last.join(best, "url")
 
 
+def frontier_union(spark, sf_dir):
+    """Resumed queue, seeds and new finds, put in this order: the last put of a URL holds."""
+    u = F.col("url")
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    seeds = frontier.seeds(spark, p.select(U.site_root(u).alias("url")))
+    queue = p.filter(F.col("page_id") % 2 == 0).select("url", F.lit(2).alias("priority"))
+    finds = p.filter(F.col("page_id") % 3 == 0).select("url", F.lit(3).alias("priority"), (F.col("page_id") + 1).alias("put_seq"))
+    return frontier.unique_frontier(frontier.union_puts(seeds, queue, finds))
+
+
 def frontier_pop(spark, sf_dir):
     """The next 25 URLs (the batch size is the operator's parameter)."""
     return frontier.pop(frontier.unique_frontier(_puts(spark, sf_dir)), 25)
@@ -447,6 +485,31 @@ def focused_traversal(spark, sf_dir):
     return traversal.crawl_outcome(found, nodes, THRESHOLD)
 
 
+def focused_crawl(spark, sf_dir):
+    """The whole loop: every page links to the next two of its host, some refresh, some may not be indexed or fetched, relevance is the model's."""
+    settings = {"name": "all", "full_url": "https://example.com", "search_subdomains": True, "search_single_domain": True, "search_pdfs": False}
+    store = CrawlStore(spark, scratch_path(spark, "crawl"))
+    n = _next_in_host(spark, sf_dir)
+    anchor = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit('<p><a href="'), c, F.lit('">x</a></p>')))
+    refresh = F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), "next1", F.lit('">'))
+    head = F.when((F.col("page_id") % 11 == 4) & F.col("next1").isNotNull(), refresh).when(F.col("page_id") % 11 == 7, '<meta name="robots" content="noindex">').otherwise("")
+    p = pages(spark, sf_dir, "page_id", "html").join(n, "page_id")
+    kind = F.when(F.col("page_id") % 13 == 5, "image/png").otherwise("text/html")
+    p = p.select("url", kind.alias("content_type"), F.concat(head, "html", anchor("next1"), anchor("next2")).alias("html"), F.col("page_id").cast("double").alias("last_fetched"))
+    crawl = FocusedCrawl(spark, store, _fit(spark, sf_dir, 0), CrawlConfig(user_agent="pagesift/1.0", threshold=0.0, text=SETTINGS))
+    crawl_id = crawl.initialize(crawl_settings=settings)
+    first = n.filter(F.col("prev1").isNull()).select("url", F.lit(1).alias("priority"))
+    done = n.filter(F.col("page_id") % 17 == 3).select("url", F.lit(0.0).alias("last_fetched"))
+    store.save_crawl(crawl_id, done, first)
+    crawl.initialize(crawl_id)
+    robots = spark.createDataFrame(list(enumerate(ROBOTS_LINES)), "line_no int, line string")
+    crawl.run(p, robots)
+    docs = store.of_crawl("relevant_documents", crawl_id).select("url", F.round("relevance", 6).alias("relevance"))
+    state = store.load_crawl(crawl_id)
+    rows = state.crawled.select("url", F.lit("crawled").alias("state")).unionByName(state.queue.select("url", F.lit("queued").alias("state")))
+    return rows.join(docs, "url", "left")
+
+
 def fetch_schedule(spark, sf_dir):
     _, _, queued = _states(spark, sf_dir)
     return frontier.fetch_schedule(queued.select("url", "priority"), 5)
@@ -472,9 +535,11 @@ def found_counter(spark, sf_dir):
 
 
 def finished_test(spark, sf_dir):
-    """Per crawl: is nothing queued and nothing left to parse?"""
-    r = crawl_report(spark, sf_dir)
-    return r.select("crawl_id", ((F.col("queued") == 0) & (F.col("parse_queued") == 0)).alias("finished"))
+    """Per crawl: is nothing queued and nothing left to parse? The first crawl has nothing but crawled URLs in its queue."""
+    crawls, crawled, queued = _states(spark, sf_dir)
+    queued = queued.filter((F.col("crawl_id") != 1) | F.col("url").startswith("http://"))
+    to_parse = crawled.filter((F.col("crawl_id") != 1) & F.col("url").contains("#"))
+    return frontier.finished(crawls, queued, crawled, to_parse)
 
 
 def download_rate(spark, sf_dir):
@@ -482,25 +547,41 @@ def download_rate(spark, sf_dir):
 
 
 # --- state ------------------------------------------------------------------
+def _settings(name: str) -> dict:
+    return {"name": name, "full_url": "https://example", "search_subdomains": True, "search_single_domain": True, "search_pdfs": False}
+
+
 def state_roundtrip(spark, sf_dir):
-    """Save every crawl twice into a fresh store, load it, and return what came back."""
+    """Save all crawls twice into a fresh store, what was loaded the second time, and return what came back."""
     crawls, crawled, queued = _states(spark, sf_dir)
     store = CrawlStore(spark, scratch_path(spark, "store"))
-    crawled, queued = materialize(crawled, "crawled"), materialize(queued, "queued")
-    out = None
-    for row in crawls.orderBy("crawl_id").collect():  # one row per crawl
-        settings = {"name": row["name"], "full_url": "https://example", "search_subdomains": True, "search_single_domain": True, "search_pdfs": False}
-        crawl_id = store.new_crawl(settings)
-        mine = lambda df: df.filter(F.col("crawl_id") == row["crawl_id"]).drop("crawl_id")
-        for _ in range(2):
-            store.save_crawl(crawl_id, mine(crawled), mine(queued))
-        state = store.load_crawl(crawl_id)
-        tag = lambda df, kind, crawl_id=crawl_id: df.select(
-            F.lit(crawl_id).cast("long").alias("crawl_id"), F.lit(kind).alias("kind"), "url", F.col("value").cast("double").alias("value"))
-        part = tag(state.crawled.withColumn("value", F.col("last_fetched")), "crawled").unionByName(
-            tag(state.queue.withColumn("value", F.col("priority")), "queued"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ids = store.new_crawls([_settings(r["name"]) for r in crawls.orderBy("crawl_id").collect()])  # one row per crawl
+    store.save_crawls(ids, crawled, queued)
+    store.save_crawls(ids, store.table("crawled_urls"), store.table("queued_urls"))
+    left = resume_queue(store.table("queued_urls"), store.table("crawled_urls"), ("crawl_id", "url"))
+    both = store.table("crawled_urls").select("crawl_id", F.lit("crawled").alias("kind"), "url", F.col("last_fetched").alias("value"))
+    return both.unionByName(left.select("crawl_id", F.lit("queued").alias("kind"), "url", F.col("priority").cast("double").alias("value")))
+
+
+def fetched_pages(spark, sf_dir):
+    """Fetched pages from a table with headers: documents by type."""
+    path = scratch_path(spark, "fetched")
+    header = F.when(_lang() == "fr", "application/pdf; x").when(_lang() == "es", "image/png").otherwise("text/html; charset=utf-8")
+    pages(spark, sf_dir).withColumn("content_type", header).write.parquet(path)
+    both = [readers.fetched_pages(spark, path, pdfs).withColumn("pdfs", F.lit(pdfs)) for pdfs in (True, False)]
+    return readers.documents_only(both[0].unionByName(both[1])).select("page_id", "url", "type", "pdfs")
+
+
+def documents_sink(spark, sf_dir):
+    """Relevant documents of all crawls, saved in two batches that overlap, one of them twice."""
+    store = CrawlStore(spark, scratch_path(spark, "store"))
+    found = oneclass.relevant(_scored_states(spark, sf_dir), THRESHOLD)
+    docs = found.join(read(spark, sf_dir, "pages").select("url", "html"), "url")
+    docs = docs.select("crawl_id", "url", "relevance", F.lit("html").alias("type"), F.md5("html").alias("content"), F.lit(1.0).alias("last_fetched"))
+    store.save_batch("run", 0, documents=docs.filter("length(url) % 2 = 0"))
+    for _ in range(2):
+        store.save_batch("run", 1, documents=docs)
+    return store.table("relevant_documents").select("crawl_id", "url", "relevance", "type", "content", "title")
 
 
 def model_roundtrip(spark, sf_dir):
@@ -527,11 +608,20 @@ def stream_score(spark, sf_dir):
     return spark.read.parquet(out).select("page_id", F.round("relevance", 6).alias("relevance"), "n_sentences")
 
 
+def _four_files(spark, sf_dir, *columns) -> DataFrame:
+    """The pages as a stream of four files, one per batch."""
+    path = scratch_path(spark, "four")
+    p = read(spark, sf_dir, "pages").select(*columns)
+    p.repartition(4, "url").write.option("maxRecordsPerFile", 0).parquet(path)
+    return jobs.page_stream(spark, path, p.schema, files_per_trigger=1)
+
+
 def stream_dedupe(spark, sf_dir):
+    """Links by first sight, over four batches; what was seen lies on storage."""
     out, mark = scratch_path(spark, "urls"), scratch_path(spark, "mark")
-    found = links.page_links(_stream(spark, sf_dir, "pages")).select(F.col("link").alias("url"))
-    _done(jobs.start_dedupe(found, out, mark))
-    return spark.read.parquet(out)
+    found = links.page_links(_four_files(spark, sf_dir, "url", "html")).select(F.col("link").alias("url"))
+    _done(jobs.start_dedupe(found, out, mark, least=50))
+    return SeenUrls(spark, out).urls()
 
 
 def stream_found(spark, sf_dir):
@@ -553,14 +643,22 @@ def stream_rate(spark, sf_dir):
 
 
 def stream_sinks(spark, sf_dir):
-    """One stream of state rows into two tables, read back together."""
-    u = F.col("url")
-    rows = _stream(spark, sf_dir, "pages").select("url", F.when(u.startswith("http://"), "crawled").otherwise("queued").alias("table"))
-    out = {k: scratch_path(spark, k) for k in ("crawled", "queued")}
-    save = {k: (lambda df, batch, k=k: df.write.mode("overwrite").parquet(f"{out[k]}/batch={batch}")) for k in out}
-    _done(jobs.start_state_sinks(rows, save, scratch_path(spark, "mark")))
-    back = [spark.read.schema("url string").parquet(p).select("url", F.lit(k).alias("table")) for k, p in out.items()]
-    return back[0].unionByName(back[1])
+    """One stream of state rows into the three tables of a store, over four batches, read back together."""
+    u, tld = F.col("url"), F.regexp_extract(U.host(F.col("url")), r"([a-z]+)$", 1)
+    crawl = F.when(tld == "com", 1).when(tld == "net", 2).otherwise(3).cast("long")
+    kind = F.when(u.startswith("http://"), "crawled").when(_lang() == "de", "document").otherwise("queued")
+    rows = _four_files(spark, sf_dir, "page_id", "url", "html").select(
+        crawl.alias("crawl_id"), "url", kind.alias("kind"), F.lit("html").alias("type"), F.lit(1.0).alias("relevance"), F.md5("html").alias("content"),
+        F.col("page_id").cast("double").alias("last_fetched"), F.length("url").alias("priority"),
+    )
+    store = CrawlStore(spark, scratch_path(spark, "store"))
+    store.new_crawls([_settings(n) for n in ("com", "net", "org")])
+    _done(jobs.start_state_sinks(rows, store, "pages", scratch_path(spark, "mark")))
+    null = F.lit(None)
+    docs = store.table("relevant_documents").select("crawl_id", "url", F.lit("document").alias("kind"), "content", "last_fetched", null.cast("int").alias("priority"))
+    crawled = store.table("crawled_urls").select("crawl_id", "url", F.lit("crawled").alias("kind"), null.cast("string").alias("content"), "last_fetched", null.cast("int").alias("priority"))
+    queued = store.table("queued_urls").select("crawl_id", "url", F.lit("queued").alias("kind"), null.cast("string").alias("content"), null.cast("double").alias("last_fetched"), "priority")
+    return docs.unionByName(crawled).unionByName(queued)
 
 
 QUERIES = {
@@ -569,13 +667,13 @@ QUERIES = {
         url_parts, url_quote, page_links, link_scope, link_class_counts, host_link_counts,
         page_blocks, content_density, content_words, content_largest,
         meta_robots, meta_refresh, redirect_chain, charset_detect, charset_decode, type_routing, robots_filter,
-        preprocess, sentences, abbreviations, tokens, stem_dictionary, ngrams,
+        preprocess, sentences, abbreviations, period_words, tokens, stopword_table, training_csv, fetched_pages, stem_dictionary, ngrams,
         vocab, vocab_top, training_summary, count_vectors, tfidf_vectors,
         oneclass_centroid, oneclass_linear, oneclass_linear_tfidf, oneclass_linear_20, oneclass_kernel, kernel_scores,
         sentence_votes, doc_relevance, relevant_docs,
-        frontier_unique, frontier_pop, frontier_size, crawled_anti, resume, crawl_join, frontier_pages, priority_step,
-        focused_traversal, fetch_schedule, crawl_report, found_counter, finished_test, download_rate,
-        state_roundtrip, model_roundtrip,
+        frontier_unique, frontier_union, frontier_pop, frontier_size, crawled_anti, resume, crawl_join, frontier_pages, priority_step,
+        focused_traversal, focused_crawl, fetch_schedule, crawl_report, found_counter, finished_test, download_rate,
+        state_roundtrip, documents_sink, model_roundtrip,
         stream_score, stream_dedupe, stream_found, stream_rate, stream_sinks,
     )
 }

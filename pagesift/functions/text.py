@@ -98,13 +98,31 @@ def apply_rules(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return text
 
 
-def sentences(text: Column, abbreviations: Sequence[str] = DEFAULT_ABBREVIATIONS) -> Column:
-    """Array of trimmed, non-empty sentences; a listed abbreviation does not end one."""
+SPACE = r"[ \t\n\x0B\f\r]"
+
+
+def sentences(text: Column, abbreviations: Sequence[str] = DEFAULT_ABBREVIATIONS, starters: Sequence[str] = (), pairs: Sequence[tuple[str, str]] = ()) -> Column:
+    """Array of trimmed, non-empty sentences; a listed abbreviation does not end one.
+
+    It does so after all if one of ``starters`` comes next, words that mostly begin a sentence. A period between the two words of
+    one of ``pairs`` ends none.
+    """
     masked = F.translate(text, MASK + CUT, "")
     if abbreviations:
         names = "|".join(re.escape(a) for a in abbreviations)
         masked = F.regexp_replace(masked, rf"(^|[^\p{{L}}])({names})\.", f"$1$2{MASK}")
-    cut = F.regexp_replace(masked, r"([.!?]+)[ \t\n\x0B\f\r]+", f"$1{CUT}")
+        if starters:
+            words = "|".join(re.escape(w) for w in starters)
+            masked = F.regexp_replace(masked, rf"{MASK}(?={SPACE}+(?:{words})(?![\p{{L}}\p{{N}}]))", ".")
+    if pairs:
+        after: dict[str, list[str]] = {}
+        for first, second in pairs:
+            after.setdefault(first, []).append(re.escape(second))
+        inside = "|".join(
+            rf"(?<=(?<![\p{{L}}\p{{N}}]){re.escape(first)})\.(?={SPACE}+(?:{'|'.join(seconds)})(?![\p{{L}}\p{{N}}]))" for first, seconds in after.items()
+        )
+        masked = F.regexp_replace(masked, inside, MASK)
+    cut = F.regexp_replace(masked, rf"([.!?]+){SPACE}+", f"$1{CUT}")
     pieces = F.split(F.replace(cut, F.lit(MASK), F.lit(".")), CUT)
     return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 

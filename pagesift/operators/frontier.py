@@ -11,8 +11,10 @@ from ..plans.unnest import unnest
 from .links import in_scope
 
 
-def seeds(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
-    """Start URLs at priority 1, put in the given order."""
+def seeds(spark: SparkSession, urls: Sequence[str] | DataFrame) -> DataFrame:
+    """Start URLs at priority 1, put in the given order; those of a table with the column ``url`` all at once."""
+    if isinstance(urls, DataFrame):
+        return urls.select("url", F.lit(1).alias("priority"), F.lit(0).cast("long").alias("put_seq")).filter("url IS NOT NULL").distinct()
     return spark.createDataFrame([(u, 1, i) for i, u in enumerate(urls)], "url string, priority int, put_seq long")
 
 
@@ -113,6 +115,17 @@ def fetch_schedule(frontier: DataFrame, per_second: int) -> DataFrame:
     return ranked.withColumn("slot", F.floor(F.col("_rank") / per_second).cast("long")).drop("_rank")
 
 
+def finished(crawls: DataFrame, queued: DataFrame, crawled: DataFrame, to_parse: DataFrame) -> DataFrame:
+    """Rows ``(crawl_id, finished)``: is nothing queued that was not crawled, and does nothing wait for its score?
+
+    Each crawl with anything left becomes one row before it meets the crawls, so a crawl that holds most of the rows is one row.
+    """
+    keys = ("crawl_id", "url")
+    left = not_crawled(queued.select(*keys).distinct(), crawled, keys).select("crawl_id").unionByName(to_parse.select("crawl_id")).distinct()
+    open_ = left.withColumn("_open", F.lit(True))
+    return crawls.select("crawl_id").join(open_, "crawl_id", "left").select("crawl_id", F.col("_open").isNull().alias("finished"))
+
+
 def is_finished(frontier: DataFrame, crawled: DataFrame, to_parse: DataFrame) -> bool:
     """True if nothing is queued and nothing waits for its score."""
     return not_crawled(frontier, crawled).isEmpty() and to_parse.isEmpty()

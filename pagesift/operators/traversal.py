@@ -17,7 +17,7 @@ def wave(edges: DataFrame, new: DataFrame, known: Levels, threshold: float, sear
     own = own_priority(F.col("relevance"), F.col("label"), threshold)
     found = edges.join(new.select(F.col("url").alias("src"), "label"), "src").withColumn("own", own)
     found = found.filter(expandable(F.col("own"), F.col("type"), search_depth))
-    return known.better(found.groupBy(F.col("dst").alias("url")).agg(F.min("own").alias("label")))
+    return known.better(found.select(F.col("dst").alias("url"), F.col("own").alias("label")))
 
 
 def focused_traversal(
@@ -50,8 +50,8 @@ def focused_traversal(
     known = Levels("url", "label")
     new, count = known.add(start)
     while count:
-        new, count = known.add(wave(out, new, known, threshold, search_depth), dealt=True)
-    return known.all() if known.tables else new
+        new, count = known.add(wave(out, new, known, threshold, search_depth))
+    return known.all() if known.tables or known.kept else new
 
 
 def crawl_outcome(labels: DataFrame, nodes: DataFrame, threshold: float = -0.5) -> DataFrame:

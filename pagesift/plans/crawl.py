@@ -42,7 +42,7 @@ def train(docs: DataFrame, key: str, config: CrawlConfig = CrawlConfig(), text:
 def training_terms(docs: DataFrame, key: str, settings: S.TextSettings, text: str = "text") -> DataFrame:
     """Materialized ``(key, sent_no, terms)`` of the training sentences; the texts are read once."""
     sents = S.to_sentences(spread(docs.select(key, text)), key, settings, text)
-    return materialize(S.with_terms(sents, settings).drop("sentence"), "training-terms")
+    return materialize(S.with_terms(sents, settings, key).drop("sentence"), "training-terms")
 
 
 class FocusedCrawl:
@@ -113,7 +113,7 @@ class FocusedCrawl:
         wanted, seen = materialize(wanted.distinct().join(facts.filter("document").select("url"), "url", "left_semi"), "wanted", n=F.count("*"))
         extracted, scored = materialize(self._extracted(pages, wanted, seen["n"] or 0), "pages", n=F.count("*"))
         self.pages_scored = scored["n"] or 0
-        terms = S.with_terms(S.to_sentences(extracted.select("url", F.col("content").alias("text")), "url", cfg.text, keep_empty=True), cfg.text)
+        terms = S.with_terms(S.to_sentences(extracted.select("url", F.col("content").alias("text")), "url", cfg.text, keep_empty=True), cfg.text, "url")
         relevance = oneclass.document_relevance(oneclass.sentence_votes(terms, self.model, "url"), "url")
         docs = facts.filter("document").select("url", "type", "allowed", "follow", "last_fetched")
         nodes = materialize(docs.join(relevance, "url"), "nodes")

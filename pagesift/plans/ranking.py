@@ -43,6 +43,19 @@ def ranked(df: DataFrame, order: list[Column], out: str, name: str = "rank") ->
     return rows, before
 
 
+def with_neighbours(df: DataFrame, group: str, order: str, columns: dict[str, tuple[str, int]], name: str = "neighbours") -> DataFrame:
+    """Add columns ``{new: (column, offset)}`` of the row ``offset`` places on in its group, in the order of ``order`` (unique keys).
+
+    A window would bring a whole group to one task. Here rows are ranked over all groups, and a neighbour is a join on the rank.
+    """
+    rows = materialize(global_rank(df, [F.asc(group), F.asc(order)], "_rank", name), name)
+    out = rows
+    for new, (column, offset) in columns.items():
+        other = rows.select((F.col("_rank") - offset).alias("_rank"), F.col(group).alias("_group"), F.col(column).alias("_value"))
+        out = out.join(other, "_rank", "left").withColumn(new, F.when(F.col(group).eqNullSafe(F.col("_group")), F.col("_value"))).drop("_group", "_value")
+    return out.drop("_rank")
+
+
 class Threshold(NamedTuple):
     value: int
     below: int  # rows with a smaller value

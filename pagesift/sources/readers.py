@@ -23,10 +23,10 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stopword_tuple(table: DataFrame, limit: int = 50_000) -> tuple[str, ...]:
-    """The stopwords as literals for the token filter; a longer list has to use the anti join."""
+    """The stopwords as literals for the token filter. A table of any length may be given as ``TextSettings.stopwords`` instead."""
     rows = table.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} stopwords: use operators.sentences.remove_stopwords")
+        raise ValueError(f"more than {limit} stopwords: give the table itself to TextSettings")
     return tuple(sorted(r["stopword"] for r in rows))
 
 

@@ -135,3 +135,33 @@ def test_unknown_vectorizer(spark, name):
 
     with pytest.raises(ValueError):
         features.vectors(None, None, "doc_id", name)
+
+
+def test_stopwords_from_a_table_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "Der Hund und der Hund. Und der."), (2, ""), (3, "Und Ende.")], "doc_id long, text string")
+    table = spark.createDataFrame([("der",), ("und",), ("und",), ("zwei worte",), (None,)], "stopword string")
+    settings = S.TextSettings(stopwords=table)
+    sents = S.to_sentences(docs, "doc_id", settings, keep_empty=True)
+    short = S.resolved(settings)
+    assert set(short.stopwords) == {"der", "und", "zwei worte"} and S.resolved(settings, 1) is settings
+    words = lambda df: sorted((r.doc_id, r.sent_no, r.tokens) for r in df.filter("sent_no IS NOT NULL").collect())
+    joined = S.remove_stopwords(sents.withColumn("tokens", T.tokens(F.col("sentence"))), table, "doc_id")
+    assert words(joined) == words(S.with_tokens(sents, settings)) == [(1, 0, ["hund", "hund"]), (1, 1, []), (3, 0, ["ende"])]
+    assert joined.count() == sents.count()
+
+
+def test_learned_sentences(spark):
+    """A word that is mostly written with a period is learned and ends no sentence, unless a word follows that mostly begins one."""
+    texts = ["Er kam Mo. abends. Danach schlief er lang. Danach aß er viel. Sie kam Mo. mittags."] * 40 + ["Alle gehen weg. Danach kommen viele. Danach ist Ruhe hier."] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    probe = spark.createDataFrame([(1, "Wir kommen Mo. mittags. Es war Mo. Danach nicht.")], "doc_id long, text string")
+    cut = lambda settings: [r.sentence for r in S.to_sentences(probe, "doc_id", settings).orderBy("sent_no").collect()]
+    plain = S.TextSettings()
+    assert cut(plain) == ["Wir kommen Mo.", "mittags.", "Es war Mo.", "Danach nicht."]
+    learned = S.learn_sentences(docs, plain)
+    assert "Mo" in learned.abbreviations and "Danach" in learned.starters
+    assert cut(learned) == ["Wir kommen Mo. mittags.", "Es war Mo.", "Danach nicht."]
+    pair = S.TextSettings(abbreviations=(), pairs=(("5", "Mai"), ("z.b", "so")))
+    found = spark.createDataFrame([(1, "Am 5. Mai war es. Am 15. Mai auch. Oder 5. Juni. Also z.b. so.")], "doc_id long, text string")
+    assert [r.sentence for r in S.to_sentences(found, "doc_id", pair).orderBy("sent_no").collect()] == [
+        "Am 5. Mai war es.", "Am 15.", "Mai auch.", "Oder 5.", "Juni.", "Also z.b. so."]
