@@ -351,7 +351,7 @@ def kernel_scores(spark, sf_dir):
     model, words = _fit_kernel(spark, sf_dir, kernels.Kernel("rbf"), 1)
     other = training_terms(labelled(spark, sf_dir, 0), "doc_id", SETTINGS)
     found = materialize(features.count_vectors(other, words, "doc_id"), "vectors")
-    votes = kernels.kernel_votes(found, model, "doc_id", other.count())
+    votes = kernels.kernel_votes(found, model, "doc_id")
     return votes.withColumn("score", F.round("score", 6))
 
 

@@ -92,25 +92,60 @@ def test_linear_fit_equals_brute_force(terms, steps):
     assert [votes[k] for k in keys] == [1 if s > rho else -1 for s in g]
 
 
-@pytest.mark.parametrize("name", ["linear", "poly", "rbf", "sigmoid"])
-def test_kernel_fit_and_scoring_equal_brute_force(terms, name, monkeypatch):
-    monkeypatch.setattr(kernels, "BLOCK_ROWS", 4)  # several tiles on the small fixture
+def gram_of(kernel, x):
+    dot, sq = x @ x.T, (x * x).sum(1)
+    return {
+        "linear": dot, "poly": (kernel.gamma * dot + kernel.coef0) ** kernel.degree, "sigmoid": np.tanh(kernel.gamma * dot + kernel.coef0),
+        "rbf": np.exp(-kernel.gamma * (sq[:, None] + sq[None, :] - 2 * dot)),
+    }[kernel.name]
+
+
+def sparse_frank_wolfe(gram, nu, steps):
+    """Brute-force model of the kernel solver: from the vertex of the first rows."""
+    n = len(gram)
+    mass, k = nu * n, max(1, int(np.ceil(nu * n - 1e-9)))
+    a = np.where(np.arange(n) < k - 1, 1 / mass, 0.0)
+    a[k - 1] = 1 - (k - 1) / mass
+    for t in range(steps):
+        order = np.argsort(np.round(gram @ a, 9), kind="stable")
+        v = np.zeros(n)
+        v[order[: k - 1]], v[order[k - 1]] = 1 / mass, 1 - (k - 1) / mass
+        a = (1 - 2 / (t + 2)) * a + 2 / (t + 2) * v
+    g = np.round(gram @ a, 9)
+    return a, g, np.sort(g)[k - 1]
+
+
+@pytest.mark.parametrize("name, steps", [("linear", 0), ("linear", 3), ("poly", 2), ("rbf", 3), ("sigmoid", 2)])
+def test_kernel_fit_and_scoring_equal_brute_force(terms, name, steps):
     vocab = features.vocabulary(terms)
     keys, x = matrix(terms, vocab)
     kernel = kernels.Kernel(name, gamma=0.2, coef0=-0.5, degree=2)
-    sq = (x * x).sum(1)
-    gram = kernel.function()(x @ x.T, sq, sq)
-    a, g, rho = frank_wolfe(gram, 0.3, 2)
-    model = kernels.fit_kernel(terms, vocab, "doc_id", kernel, 0.3, 2)
+    gram = gram_of(kernel, x)
+    a, g, rho = sparse_frank_wolfe(gram, 0.3, steps)
+    model = kernels.fit_kernel(terms, vocab, "doc_id", kernel, 0.3, steps)
     got = {(r.doc_id, r.sent_no): r.units / oneclass.UNIT for r in model.training.collect()}
     assert np.allclose([got[k] for k in keys], g, atol=2e-9) and abs(model.rho - rho) < 2e-9
+    assert model.n_support == (a > 0).sum() and model.n_support <= max(steps, 1) * int(np.ceil(0.3 * len(x)))
     path = scratch_path(terms.sparkSession, "kernel")
     kernels.save_kernel_model(model, path)
     again = kernels.load_kernel_model(terms.sparkSession, path)
-    votes = kernels.kernel_votes(features.count_vectors(terms, vocab, "doc_id"), again, "doc_id", len(x)).collect()
+    votes = kernels.kernel_votes(features.count_vectors(terms, vocab, "doc_id"), again, "doc_id").collect()
     assert np.allclose([r.score for r in sorted(votes, key=lambda r: (r.doc_id, r.sent_no))], gram @ a, atol=1e-8)
 
 
+def test_kernel_pairs_grow_with_matches(spark):
+    """Sentences without a common term are no rows: blocks of one term each meet only themselves."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(0).alias("sent_no"), F.array(F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).alias("terms"))
+    vocab = features.vocabulary(docs)
+    points, heads = kernels._points(features.count_vectors(docs, vocab, "doc_id"), "doc_id")
+    support = kernels._support(points.join(heads, ["cell", "doc_id", "sent_no"]).withColumn("alpha", F.lit(1 / 300)), "doc_id")
+    met = features.only_known(points).join(features.only_known(support), "term_id")
+    assert met.count() == 900
+    sums = kernels.kernel_sums(points, heads, support, kernels.Kernel("sigmoid"), "doc_id").collect()
+    want = (3 * np.tanh(0.1 - 1.0) + 297 * np.tanh(-1.0)) / 300
+    assert len(sums) == 300 and all(abs(r.total - want) < 1e-12 for r in sums)
+
+
 def test_relevance_of_empty_and_unknown_documents(spark, terms):
     vocab = features.vocabulary(terms)
     for kind in ("count", "tfidf"):
