@@ -1,21 +1,23 @@
-"""Benchmark decontamination: n-gram seeds, an upper bound, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare n-gram seeds join documents to items, Smith-Waterman alignment of words judges the pairs."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from ..plans.bitmaps import ROW_BITS, bits_for
+from ..plans.joins import lookup
+from ..plans.materialize import materialize
 from .hashing import WordHasher
-from .rows import slices
+from .rows import ROW, look_up, slices, with_rows, worker_store
 
 SEED_WORDS = 3
-SLICE_BYTES = 16 << 20
+RARE = 16  # items that hold a rare seed, at most
+TOGETHER = 512  # items that a row of candidates holds
+KEPT_ITEMS = 20_000  # of a worker
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
-LEAKS = ArrayType(StructType([
-    StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("first_word", LongType()), StructField("end_word", LongType()),
-]))
+LEAK = "item_id long, score double, first_word long, end_word long"
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -40,48 +42,72 @@ def most(fits: np.ndarray) -> float:
     return float((sums - np.minimum.accumulate(sums)).max())
 
 
+class Item:
+    """Words of an item as numbers, its distinct words, and its seeds in order with their places."""
+
+    def __init__(self, words: np.ndarray, size: int, hasher: WordHasher):
+        self.words = words
+        self.known, self.at = np.unique(words, return_inverse=True)
+        grams = hasher.grams(words, seed_size(len(words), size))
+        self.places = np.argsort(grams, kind="stable")
+        self.grams = grams[self.places]
+
+
+def seed_size(words: int, size: int) -> int:
+    """Words of an item's seeds: an item of fewer words is one seed."""
+    return max(1, min(words, size))
+
+
+def seeds_of(grams: np.ndarray, size: int) -> np.ndarray:
+    """Grams of one size made different from those of another."""
+    return (grams << np.uint64(2)) | np.uint64(size & 3)
+
+
 class Seeds:
-    """Items as word numbers, and all their n-grams, sorted, as seeds that point into them."""
+    """Some items and all their seeds, sorted, as pointers into them."""
 
-    def __init__(self, items: list[tuple], words: int = SEED_WORDS):
-        hasher = WordHasher()
-        self.ids = [i for i, _ in items]
-        self.texts = [hasher.words(t or "")[0] for _, t in items]
-        self.vocabularies = [np.unique(t, return_inverse=True) for t in self.texts]
-        grams = [hasher.grams(item, words) for item in self.texts]
+    def __init__(self, items: list[tuple[int, Item]], words: int = SEED_WORDS):
+        self.ids, self.items, self.words = [i for i, _ in items], [item for _, item in items], words
+        grams = [seeds_of(item.grams, seed_size(len(item.words), words)) for item in self.items]
         owners = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        places = np.concatenate([np.empty(0, dtype=np.int64), *(np.arange(len(g)) for g in grams)])
+        places = np.concatenate([np.empty(0, dtype=np.int64), *(item.places for item in self.items)])
         grams = np.concatenate([np.empty(0, dtype=np.uint64), *grams])
         order = np.argsort(grams, kind="stable")
         self.grams, self.owners, self.places = grams[order], owners[order], places[order]
+        self.sizes = sorted({seed_size(len(item.words), words) for item in self.items})
 
     def bound(self, n: int, passage: np.ndarray) -> float:
         """No alignment of item ``n`` with the passage scores more.
 
         A place whose word the other side lacks costs at least a mismatch or a gap (which cost the same) on either side.
         """
-        known, at = self.vocabularies[n]
+        known, at = self.items[n].known, self.items[n].at
         place = np.minimum(np.searchsorted(known, passage), len(known) - 1)
         fits = known[place] == passage
         there = np.zeros(len(known), dtype=bool)
         there[place[fits]] = True
         return min(most(there[at]), most(fits))
 
-    def leaks(self, words: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple]:
-        """``(item_id, score, first_word, end_word)`` of the items that a document holds."""
-        low = np.searchsorted(self.grams, grams, "left")
-        hit = np.flatnonzero((low < len(self.grams)) & (self.grams[np.minimum(low, len(self.grams) - 1)] == grams)) if len(self.grams) else []
-        if not len(hit):
+    def leaks(self, words: np.ndarray, hasher: WordHasher, threshold: float) -> list[tuple]:
+        """``(id, score, first_word, end_word)`` of the items that a document holds."""
+        owners, starts = [], []
+        for size in self.sizes:
+            grams = seeds_of(hasher.grams(words, size), size)
+            low = np.searchsorted(self.grams, grams, "left")
+            hit = np.flatnonzero((low < len(self.grams)) & (self.grams[np.minimum(low, len(self.grams) - 1)] == grams))
+            low = low[hit]
+            times = np.searchsorted(self.grams, grams[hit], "right") - low
+            seed = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            owners.append(self.owners[seed])
+            starts.append(np.repeat(hit, times) - self.places[seed])
+        owner, start = np.concatenate(owners), np.concatenate(starts)
+        if not len(owner):
             return []
-        low = low[hit]
-        times = np.searchsorted(self.grams, grams[hit], "right") - low
-        seed = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        owner, start = self.owners[seed], np.repeat(hit, times) - self.places[seed]
         order = np.lexsort((start, owner))
         owner, start = owner[order], start[order]
         out = []
         for at, end in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]))):
-            item = self.texts[owner[at]]
+            item = self.items[owner[at]].words
             slack = len(item) // 2 + 4
             lows, highs = np.maximum(start[at:end] - slack, 0), np.minimum(start[at:end] + len(item) + slack, len(words))
             breaks = np.flatnonzero(lows[1:] > np.maximum.accumulate(highs)[:-1]) + 1
@@ -100,50 +126,145 @@ class Seeds:
         return out
 
 
-def _mark(items: list[tuple], words: int, threshold: float, text: str):
+def _item_words(batches):
+    """Words of each distinct item text, as little-endian 64-bit numbers; texts without a word are left out."""
+    hasher = WordHasher()
+    for part, texts in slices(batches, "text"):
+        words = [hasher.words(t)[0] for t in texts]
+        keep = [i for i, w in enumerate(words) if len(w)]
+        columns = [part.column(ROW).take(pa.array(keep, pa.int64())), pa.array([words[i].astype("<u8").tobytes() for i in keep], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["item", "words"])
+
+
+def _item_seeds(size: int):
     def run(batches):
-        hasher, seeds = WordHasher(), None
-        for part, texts in slices(batches, text):
-            seeds = seeds or Seeds(items, words)
-            found = []
-            for t in texts:
-                numbers = hasher.words(t)[0]
-                leaks = seeds.leaks(numbers, hasher.grams(numbers, words), threshold)
-                found.append([dict(zip(("item_id", "score", "first_word", "end_word"), leak)) for leak in leaks])
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
-            yield part.append_column("leaks", pa.array(found, kind))
+        hasher = WordHasher()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                words = np.frombuffer(batch.column("words")[at].as_py(), "<u8")
+                n = seed_size(len(words), size)
+                grams = np.unique(seeds_of(hasher.grams(words, n), n)).view(np.int64)
+                item = np.full(len(grams), batch.column("item")[at].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(grams), pa.array(np.full(len(grams), n, dtype=np.int32))], names=["item", "gram", "words"])
 
     return run
 
 
-def with_leaks(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, words: int = SEED_WORDS, slice_bytes: int = SLICE_BYTES,
+def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A hashed bitmap of all seeds, of a size that is bounded whatever the benchmark's (32 MB): what the driver gets of it."""
+    place = F.col("gram").bitwiseAND(bits - 1)
+    rows = seeds.select(F.shiftright(place, 15).alias("row"), (place % ROW_BITS).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows.collect():
+        out[r["row"] * ROW_BITS // 8 : (r["row"] + 1) * ROW_BITS // 8] = np.frombuffer(r["bitmap"], np.uint8)
+    return out
+
+
+def _hits(bitmap, bits: int, sizes: list[int]):
+    """Distinct grams of each document that may be seeds."""
+    def run(batches):
+        hasher, table = WordHasher(), bitmap.value
+        for part, texts in slices(batches, "text"):
+            ids = part.column(ROW).to_numpy()
+            rows, grams = [], []
+            for i, t in zip(ids, texts):
+                words = hasher.words(t)[0]
+                for n in sizes:
+                    some = seeds_of(hasher.grams(words, n), n)
+                    place = some & np.uint64(bits - 1)
+                    some = np.unique(some[table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1])
+                    rows.append(np.full(len(some), i, dtype=np.int64))
+                    grams.append(some.view(np.int64))
+            none = [np.empty(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows or none)), pa.array(np.concatenate(grams or none))], names=[ROW, "gram"])
+
+    return run
+
+
+def _judge(size: int, threshold: float):
+    """Leaks of the documents' candidates."""
+    def run(batches):
+        hasher, kept = WordHasher(), worker_store("items").setdefault(size, {})
+        for part, texts in slices(batches, "text"):
+            out = []
+            for row, text, items in zip(part.column(ROW).to_pylist(), texts, part.column("items").to_pylist()):
+                known = []
+                for item in items:
+                    if item["words"] not in kept:
+                        if len(kept) >= KEPT_ITEMS:
+                            kept.clear()
+                        kept[item["words"]] = Item(np.frombuffer(item["words"], "<u8"), size, hasher)
+                    known.append((item["item"], kept[item["words"]]))
+                out += [(row, *leak) for leak in Seeds(known, size).leaks(hasher.words(text)[0], hasher, threshold)]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[ROW, "item", "score", "first_word", "end_word"])
+
+    return run
+
+
+def find_leaks(
+    rows: DataFrame, benchmark: DataFrame, threshold: float = 0.5, words: int = SEED_WORDS, rare: int = RARE,
     text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """The columns of ``docs`` and ``__leaks``: the test items that each text holds.
+    """``__row, item_id, score, first_word, end_word`` of the test items that texts hold; ``rows`` is a written table with ``__row``.
 
-    Seeds are all ``words``-word grams of an item, however frequent. A text that holds a seed is aligned with the item
-    around it by Smith-Waterman over words: +1 for a match, -0.5 for a mismatch or a gap; where an upper bound
-    of the score is too low, it is not. A leak has a score of at least ``threshold``
-    times the item's words; its score is given as that share, with the aligned words' first place and end.
-    What is found in a text depends on that text and the items alone.
+    Seeds are the ``words``-word grams of an item (an item of fewer words is one seed). A leak is a text that holds a seed of an item
+    and scores at least ``threshold`` times the item's words in a Smith-Waterman alignment with it over words, near its seeds: +1 for
+    a match, -0.5 for a mismatch or a gap. The score is given as that share, with the place of the first aligned
+    word and the end. Of several places with the same score the first counts. What is found in a text depends on that text and the items alone.
 
-    Items go to every task, in slices of about ``slice_bytes`` of text: a larger benchmark takes a
-    pass over the documents per slice. Documents are not shuffled, and nothing of them is gathered.
+    - Documents keep grams that are in a hashed bitmap of all seeds, and these join the seeds. How rare a seed is, is told by how many items
+      hold it, not by how often it leaked: seeds of at most ``rare`` items come first, then those of more items give the
+      pairs that share no rare one. No pair is left out.
+    - A pair is then judged by all seeds it shares, whichever found it, where an upper bound of the score allows.
+    - Hot items and hot documents: items that repeat are judged once, a document's candidates go in rows of some hundred, and an
+      item's words are looked up through a salted join.
 
-    A null or empty text has no leaks. An item without text or with fewer words than a seed is never found. Items that repeat are
-    found each. Other columns pass through, whatever their names. No rows give no rows.
+    A null or empty text has no leaks, an item without a word is never found, items that repeat are found each, null ids are ids. Other
+    columns are not looked at. No rows give no rows.
     """
+    spark = rows.sparkSession
+    docs = rows.select(ROW, F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    count = max(1, -(-total // slice_bytes))
+    distinct = with_rows(items.select("text").distinct(), "items")
+    texts = materialize(distinct.mapInArrow(_item_words, "item long, words binary"), "item-words")
+    seeds, seen = materialize(texts.mapInArrow(_item_seeds(words), "item long, gram long, words int"), "seeds", n=F.count("*"), sizes=F.collect_set("words"))
+    if not seen["n"]:
+        return spark.createDataFrame([], f"{ROW} long, {LEAK}")
+    bits = bits_for(seen["n"])
+    bitmap = spark.sparkContext.broadcast(_bitmap(seeds, bits))
+    hits = materialize(docs.mapInArrow(_hits(bitmap, bits, sorted(seen["sizes"])), f"{ROW} long, gram long"), "seed-hits")
+
+    holders = seeds.groupBy("gram").agg(F.count("*").alias("holders")).filter(F.col("holders") > rare).select("gram")
+    common = materialize(holders, "common-seeds")
+    first = materialize(seeds.join(common, "gram", "left_anti").select("gram", "item"), "rare-seeds")
+    second = materialize(seeds.join(common, "gram", "left_semi").select("gram", "item"), "common-seeds")
+    pairs = materialize(look_up(hits, first, "gram").select(ROW, "item").distinct(), "pairs")
+    others = look_up(hits, second, "gram").select(ROW, "item").distinct().join(pairs, [ROW, "item"], "left_anti")
+    pairs = pairs.unionByName(others)
+
+    sizes = pairs.groupBy(ROW).agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    held = lookup(pairs.join(sizes, ROW), texts, "item").withColumn("part", F.pmod(F.xxhash64("item"), "parts"))
+    wanted = held.groupBy(ROW, "part").agg(F.collect_list(F.struct("item", "words")).alias("items"))
+    wanted = materialize(wanted.drop("part"), "candidates")
+    found = look_up(docs, wanted, ROW).select(ROW, "text", "items").mapInArrow(_judge(words, threshold), f"{ROW} long, item long, score double, first_word long, end_word long")
+    ids = items.join(distinct, "text").select("item_id", F.col(ROW).alias("item"))
+    return materialize(found, "leaks").join(ids, "item").select(ROW, "item_id", "score", "first_word", "end_word")
+
+
+def with_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, words: int = SEED_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    out: str = "__leaks",
+) -> DataFrame:
+    """The columns of ``docs`` and ``out``, an array of the leaks of each row in the order of item id and place; see :func:`find_leaks`.
+
+    Other columns pass through, whatever their names; one that is named ``out`` stays beside the new one.
+    """
     names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    t = plain.columns[names.index(text)]
-    out = plain.withColumn("__leaks", F.array().cast(LEAKS))
-    for n in range(count):
-        some = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == n).orderBy("item_id", "text").collect()]
-        marked = StructType([*out.schema.fields, StructField("leaks", LEAKS)])
-        out = out.mapInArrow(_mark(some, words, threshold, t), marked)
-        out = out.withColumn("__leaks", F.concat("__leaks", "leaks")).drop("leaks")
-    return out.toDF(*names, "__leaks")
+    rows = with_rows(docs.toDF(*[f"c{i}" for i in range(len(names))]), "leak-docs")
+    found = find_leaks(rows, benchmark, threshold, words, RARE, f"c{names.index(text)}", item_id, item_text)
+    leaks = found.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("item_id", "first_word", "end_word", "score"))).alias("leaks"))
+    leaks = materialize(leaks.withColumn("leaks", F.transform("leaks", lambda x: F.struct(x["item_id"].alias("item_id"), x["score"].alias("score"), x["first_word"].alias("first_word"), x["end_word"].alias("end_word")))), "leaks")
+    marked = lookup(rows, leaks, ROW).withColumn("leaks", F.coalesce("leaks", F.array().cast(leaks.schema["leaks"].dataType)))
+    return marked.drop(ROW).toDF(*names, out)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.materialize import materialize, scratch_path
 from . import chat, decontaminate, jaccard, language, lines, negatives, neighbours, packing, pieces, tokencount, tokenfile, turntrie, urls
-from .rows import ROW, keep_keys, with_rows
+from .rows import ROW, keep_keys, look_up, with_rows
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -67,9 +67,9 @@ def op9_chat(spark, sf_dir):
 
 
 def op10_decontaminate(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.with_leaks(docs, _read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("__leaks").alias("leak")).select("doc_id", "leak.*")
+    docs = with_rows(_read(spark, sf_dir, "documents").select("doc_id", "text"), "docs")
+    found = materialize(decontaminate.find_leaks(docs, _read(spark, sf_dir, "benchmark")), "found")
+    return look_up(docs.select(ROW, "doc_id"), found, ROW).select("doc_id", "item_id", "score", "first_word", "end_word")
 
 
 def op11_pieces(spark, sf_dir):

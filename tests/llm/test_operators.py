@@ -24,7 +24,7 @@ AWKWARD = [(1, None), (1, ""), (2, "same text of a few more words"), (2, "same t
 def table(spark, rows=AWKWARD):
     """Rows with further columns whose names clash with those of the operators."""
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string")
-    for name in ("n_tokens", "start", "score", "node", "size", "__gone_not", "a.b", "component", "lang_pred"):
+    for name in ("n_tokens", "start", "score", "node", "size", "__gone_not", "a.b", "component", "lang_pred", "__leaks_", "items", "gram"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -365,20 +365,23 @@ def test_alignment_equals_brute_force():
         assert decontaminate.align(a, b)[0] == brute_align(a, b)
 
 
-@pytest.mark.parametrize("slice_bytes", [16 << 20, 400])
-def test_leaks(spark, slice_bytes):
+@pytest.mark.parametrize("rare", [16, 0])
+def test_leaks(spark, rare, monkeypatch):
+    """Whether seeds are rare or not, the same is found."""
+    monkeypatch.setattr(decontaminate, "RARE", rare)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=3))
     items = [[word() for _ in range(40)] for _ in range(12)]
-    bench = [(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, ""), (52, "two words"), (None, "quite another item of some more words here")]
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, ""), (52, "kqx"), (53, "zuv kqx"), (None, "quite another item of some more words here")]
     rows = list(AWKWARD)
     for i, item in enumerate(items[:6]):
         edited = [word() if rng.random() < 0.12 else w for w in item]
         noise = [word() for _ in range(300)]
         rows += [(100 + i, " ".join(noise + item + noise)), (200 + i, " ".join(noise[:90] + edited)), (300 + i, " ".join(noise))]
-    df = decontaminate.with_leaks(table(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), slice_bytes=slice_bytes)
+    rows += [(400, "one Zuv, kqx! two"), (401, "kqxx zuv")]
+    df = decontaminate.with_leaks(table(spark, rows), spark.createDataFrame(bench, "item_id long, text string"))
     got = {(r.doc_id, r.leak.item_id): r.leak for r in df.select("doc_id", F.explode("__leaks").alias("leak")).collect()}
-    assert set(got) == {(100 + i, i) for i in range(6)} | {(200 + i, i) for i in range(6)}
+    assert set(got) == {(100 + i, i) for i in range(6)} | {(200 + i, i) for i in range(6)} | {(400, 52), (400, 53)}
     assert all(got[100 + i, i].score == 1 and (got[100 + i, i].first_word, got[100 + i, i].end_word) == (300, 340) for i in range(6))
     assert df.count() == len(rows) and decontaminate.with_leaks(table(spark).limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
 
@@ -400,10 +403,40 @@ def test_bound_is_no_less_than_alignment():
     rng = np.random.default_rng(5)
     for _ in range(100):
         a, b = rng.integers(0, 9, rng.integers(1, 12)), rng.integers(0, 9, rng.integers(1, 25))
-        seeds = decontaminate.Seeds([(1, " ".join(f"w{x}" for x in a))])
-        assert seeds.bound(0, hashing.WordHasher().words(" ".join(f"w{x}" for x in b))[0]) >= brute_align(a, b)
+        hasher = hashing.WordHasher()
+        words = [hasher.words(" ".join(f"w{x}" for x in side))[0] for side in (a, b)]
+        assert decontaminate.Seeds([(1, decontaminate.Item(words[0], 3, hasher))]).bound(0, words[1]) >= brute_align(a, b)
 
 
+def test_leaks_equal_brute_force_over_all_pairs(spark, docs):
+    """Every text against every item, whole: a pair that reaches the threshold and shares a seed is found, with that score."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    hasher = hashing.WordHasher()
+    items = [(r.item_id, hasher.words(r.text or "")[0]) for r in bench.collect()]
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = hasher.words(r.text or "")[0]
+        for item_id, item in items:
+            if not len(item) or not len(words):
+                continue
+            score = decontaminate.align(item, words)[0] / len(item)
+            n = min(3, len(item))
+            if score >= 0.5 and np.intersect1d(hasher.grams(item, n), hasher.grams(words, n)).size:
+                want[r.doc_id, item_id] = score
+    rows = entry.queries()["op10_decontaminate"](spark, SF).collect()
+    assert want and {(r.doc_id, r.item_id): r.score for r in rows} == want
+
+
+def test_no_benchmark_text_in_the_driver(spark, docs, monkeypatch):
+    """Neither plans nor what is collected hold an item's words: the driver gets a bitmap of bounded size."""
+    bench = spark.createDataFrame([(1, "zebra quagga okapi gnu"), (2, "zebra tapir")], "item_id long, text string")
+    path = scratch_path(spark, "bench")
+    bench.write.parquet(path)
+    found = decontaminate.with_leaks(docs, spark.read.parquet(path))
+    assert "zebra" not in found._jdf.queryExecution().toString()
+    with open(decontaminate.__file__) as file:
+        assert file.read().count(".collect()") == 1  # the bitmap's rows
+
 def test_pipeline(spark, tmp_path, docs, library):
     rows = corpus_pipeline.run(spark, SF).collect()
     left = {r.doc_id for r in rows}
@@ -436,6 +469,8 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     spark.createDataFrame([(1, None), (None, "some item of words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in (AWKWARD, []):
         df = table(spark, rows).withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long"))
+        for name in ("__leaks", "__lines", "__removed", "__row", "c0", "ordinary"):
+            df = df.withColumn(name, F.lit(1))
         for _, stage in corpus_pipeline.STAGES[:-1]:
             names = df.columns
             df = stage(spark, df, str(tmp_path))
@@ -447,4 +482,4 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
