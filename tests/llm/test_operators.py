@@ -1,6 +1,7 @@
 """Each operator against brute force, the library itself or an exact round trip, and on awkward rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -226,58 +227,103 @@ def test_pruning_keeps_what_reaches_the_threshold():
 
 
 def brute_lines(rows):
-    hasher, occ = hashing.WordHasher(), {}
+    """Texts rid of repeated lines by edit similarity alone, and the places of the lines that go, of those that stay and of mere copies."""
+    occ = {}
     for at, (doc, text) in enumerate(rows):
         for n, line in enumerate((text or "").split("\n")):
             if key := lines.normalised(line):
                 occ.setdefault(key, []).append((doc is None, doc or 0, at, n))
-    keys = list(occ)
-    codes = []
-    for key in keys:
-        seen, feats = {}, []
-        for word in hasher.words(key)[0].tolist():
-            feats.append((word + seen.get(word, 0) * 0x9E3779B97F4A7C15) % (1 << 64))
-            seen[word] = seen.get(word, 0) + 1
-        feats = hashing.mix(np.array(feats, dtype=np.uint64)).tolist()
-        codes.append(sum((2 * sum(f >> b & 1 for f in feats) > len(feats)) << b for b in range(64)))
+    keys = sorted(occ, key=len)
+    letters = np.array([[k.count(c) for c in "abcdefghijklmnopqrstuvwxyz "] for k in keys])
+    sizes = np.array([len(k) for k in keys])
     group = list(range(len(keys)))
     for i in range(len(keys)):
-        for j in range(i):
-            if (codes[i] ^ codes[j]).bit_count() <= lines.DISTANCE and lines.similar(keys[i], keys[j], 0.8):
+        some = np.arange(i + 1, np.searchsorted(sizes, sizes[i] / 0.8 + 1, side="right"))
+        some = some[np.abs(letters[some] - letters[i]).sum(axis=1) <= 2 * 0.2 * sizes[some] + 2]
+        for j in some:
+            if group[i] != group[j] and lines.similar(keys[i], keys[j], 0.8):
                 group = [group[j] if g == group[i] else g for g in group]
-    gone = set()
+    gone, copies = set(), set()
+    for k in keys:
+        copies |= {o[2:] for o in sorted(occ[k])[1:]}
     for g in set(group):
         found = sorted(o for k, h in zip(keys, group) if h == g for o in occ[k])
         gone |= {o[2:] for o in found[1:]}
+    return gone, copies
+
+
+def without(rows, gone):
     return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (at, n) not in gone) for at, (_, t) in enumerate(rows)]
 
 
-def test_lines_equal_brute_force(spark, docs):
-    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(60).collect()] + [(i and i + 1_000, t) for i, t in AWKWARD]
+def test_lines_equal_brute_force(spark):
+    """Equal lines, lines that differ in a word and lines that differ a little: all that plain edit similarity finds."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    texts = []
+    for n in [3, 4, 5, 6, 8, 11, 12, 20, 40, 90] * 3:
+        own = [word() for _ in range(n)]
+        near = list(own)
+        near[rng.randrange(n)] = word()[:4]
+        typo = " ".join(own)
+        at = rng.choice([i for i, c in enumerate(typo) if c != " "])
+        texts += ["\n".join([" ".join(own), " ".join(word() for _ in range(n))]), " ".join(near).upper() + "\n***", typo[:at] + "x" + typo[at + 1 :]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i and i + 1_000, t) for i, t in AWKWARD]
     long = " ".join(f"word{i}" for i in range(300))
     rows += [(5_000 + i, f"{long} {'x' * i}\nown line {i} of it\n") for i in range(6)]
     got = lines.dedup_lines(table(spark, rows).coalesce(1)).select("doc_id", "text").collect()
-    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for (d, _), t in zip(rows, brute_lines(rows)))
+    gone, _ = brute_lines(rows)
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for (d, _), t in zip(rows, without(rows, gone)))
     assert lines.dedup_lines(table(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("lines_in_all", [0, 1_000, 1 << 24, 1 << 36, 1 << 44])
-def test_keys_find_all_near_hashes(spark, lines_in_all):
+def test_near_lines_recall(spark, docs):
+    """Against plain edit similarity over all lines: 0.9 of the near lines go at least, and no line that has none like it."""
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    gone, copies = brute_lines(rows)
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    found = set()
+    for at, (doc, text) in enumerate(rows):
+        left = (got[doc].text or "").split("\n") if got[doc].text is not None else []
+        for n, line in enumerate((text or "").split("\n")):  # what stays keeps its order
+            if left and left[0] == line:
+                left = left[1:]
+            else:
+                found.add((at, n))
+    near = gone - copies
+    assert found <= gone and copies <= found and len(near) > 30
+    assert len(found & near) >= 0.9 * len(near), (len(found & near), len(near))
+
+
+@pytest.mark.parametrize("lines_in_all", [0, 1 << 21, 1 << 30])
+def test_hashes_with_fewer_differences_than_blocks_share_one(spark, lines_in_all):
     rng = random.Random(lines_in_all)
-    codes = {rng.getrandbits(64) for _ in range(150)}
-    for code in list(codes):
-        flips = rng.sample(range(64), rng.randint(1, 6))
-        codes.add(code ^ sum(1 << b for b in flips))
-    codes = sorted(c - (1 << 64) if c >> 63 else c for c in codes)
-    df = spark.createDataFrame([(c,) for c in codes], "code long")
-    got = graph.components(lines.near_codes(df, lines_in_all, lines.DISTANCE, 32)).collect()
-    apart = {c: c for c in codes}
-    for a in codes:
-        for b in codes:
-            if a < b and ((a ^ b) % (1 << 64)).bit_count() <= lines.DISTANCE and apart[a] != apart[b]:
-                old, new = max(apart[a], apart[b]), min(apart[a], apart[b])
-                apart = {c: new if r == old else r for c, r in apart.items()}
-    assert {r.node: r.component for r in got} == {c: r for c, r in apart.items() if list(apart.values()).count(r) > 1}
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    rows = []
+    blocks = len(lines.block_keys(F.col("a"), lines_in_all))
+    for i in range(200):
+        code = rng.getrandbits(128)
+        other = code
+        for bit in rng.sample(range(128), min(blocks - 1, 7)):
+            other ^= 1 << bit
+        rows.append((i, *[[signed(c >> 64 & (1 << 64) - 1), signed(c & (1 << 64) - 1)] for c in (code, other)]))
+    df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
+    both = df.select(F.arrays_overlap(F.array(*lines.block_keys(F.col("a"), lines_in_all)), F.array(*lines.block_keys(F.col("b"), lines_in_all))).alias("x"))
+    assert both.filter("x").count() == 200 and blocks >= 4
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(30_000)]
+    one = [rng.choice(words) for _ in range(160_000)]
+    near = [w if rng.random() > 0.05 else rng.choice(words) for w in one]
+    other = [rng.choice(words) for _ in range(160_000)]
+    start = time.perf_counter()
+    assert lines.similar(" ".join(one), " ".join(near), 0.8) and len(" ".join(one)) > 1_000_000
+    assert not lines.similar("z" * 300_000 + " ".join(one), " ".join(one) + "y" * 300_000, 0.8)
+    assert time.perf_counter() - start < 10
+    got = lines.dedup_lines(spark.createDataFrame([(1, " ".join(one)), (2, " ".join(near)), (3, " ".join(other))], "doc_id long, text string"))
+    assert {r.doc_id for r in got.filter("__removed = 1").collect()} == {2}
 
 
 def test_edit_distance():
@@ -288,6 +334,7 @@ def test_edit_distance():
         for i, c in enumerate(a, 1):
             row = _next(row, i, c, b)
         assert lines.edit_distance(a, b, 99) == row[len(b)]
+        assert lines.distance_below(a, b) <= row[len(b)] <= lines.distance_above(a, b, 99)
         assert lines.edit_distance(a, b, 2) == row[len(b)] or row[len(b)] > 2
 
 
