@@ -8,6 +8,7 @@ from ..plans.bitmaps import bitmap_of, bitmap_row, bits_for, has_bit
 from ..sources.state import Manifest
 
 BUCKETS = 16
+FILE_ROWS = 4_000_000
 LEAST = 100_000  # new URLs before the set is first put in order
 SMALL = 32 << 20  # bytes of bitmap that may be broadcast
 
@@ -17,7 +18,7 @@ class SeenUrls:
 
     ``base/generation=G`` holds all URLs up to some batch, in buckets by hash, and ``bitmap/generation=G`` a hashed bitmap of them, one row of
     4 KB per 2,048 URLs; later batches lie in ``recent/batch=N``. A batch first meets the bitmap. Only URLs whose bit is set meet the
-    buckets they may be in, and all meet the recent batches. When those hold half as many URLs as the base, a new generation is
+    buckets they may be in, and all meet the recent batches. When those hold as many URLs as the base, a new generation is
     written, so a URL is rewritten a logarithmic number of times. ``manifest`` tells what holds; it is written last.
     """
 
@@ -73,7 +74,7 @@ class SeenUrls:
             now["last"], now["recent"] = batch, now["recent"] + count
 
         state = self.manifest.change(edit)
-        if state["recent"] >= max(self.least, state["rows"] // 2):
+        if state["recent"] >= max(self.least, state["rows"]):
             self._settle(state)
         return new
 
@@ -83,7 +84,9 @@ class SeenUrls:
         bits = bits_for(rows, most=None)
         whole = self._base(state).select("url").unionByName(self._recent(state).select("url")).withColumn("bucket", self._bucket())
         base = f"{self.path}/base/generation={generation}"
-        whole.repartition("bucket", F.hash("url")).write.mode("overwrite").partitionBy("bucket").parquet(base)
+        splits = -(-rows // (self.buckets * FILE_ROWS))  # files of a bucket
+        whole = whole.repartition(self.buckets * splits, "bucket", F.pmod(F.xxhash64("url"), F.lit(splits)))
+        whole.write.mode("overwrite").partitionBy("bucket").parquet(base)
         held = self.spark.read.schema("url string, bucket int").parquet(base)
         bitmap_of(held, "url", bits).write.mode("overwrite").parquet(f"{self.path}/bitmap/generation={generation}")
         upto = state["last"]

@@ -139,7 +139,7 @@ def test_kernel_pairs_grow_with_matches(spark):
     vocab = features.vocabulary(docs)
     points, heads = kernels._points(features.count_vectors(docs, vocab, "doc_id"), "doc_id")
     support = kernels._support(points.join(heads, ["cell", "doc_id", "sent_no"]).withColumn("alpha", F.lit(1 / 300)), "doc_id")
-    met = features.only_known(points).join(features.only_known(support), "term_id")
+    met = features.only_known(points).drop("cell").join(support, "term_id")
     assert met.count() == 900
     sums = kernels.kernel_sums(points, heads, support, kernels.Kernel("sigmoid"), "doc_id").collect()
     want = (3 * np.tanh(0.1 - 1.0) + 297 * np.tanh(-1.0)) / 300
@@ -217,3 +217,25 @@ def test_lookup_reads_many_once(spark, monkeypatch, tmp_path):
     for out in (joins.lookup(many, one, "k", heat="heat"), joins.lookup(many, one.drop("heat"), "k")):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
         assert out.count() == 300
+
+
+@pytest.mark.parametrize("kind", ["count", "tfidf"])
+def test_fit_with_a_vocabulary_beyond_broadcast(terms, monkeypatch, kind):
+    """The same weights, and a step that moves neither vectors nor weights but one number per sentence and block."""
+    vocab = features.vocabulary(terms)
+    plain = oneclass.fit_linear(terms, vocab, "doc_id", 0.3, 3, kind)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
+    large = oneclass.fit_linear(terms, vocab, "doc_id", 0.3, 3, kind)
+    assert abs(plain.rho_units - large.rho_units) <= 1
+    one, other = ({r.term: r.w for r in m.weights.collect()} for m in (plain, large))
+    assert one.keys() == other.keys() and all(abs(one[t] - other[t]) < 1e-9 for t in one)
+    vecs = features.vectors(terms, vocab, "doc_id", kind, terms.count())
+    spark = terms.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = oneclass.TermBlocks(vecs, vocab, "doc_id").weighted(plain.weights)
+        plan = rows.groupBy("doc_id", "sent_no").agg(F.sum("weight"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "partial_sum" in plan and plan.count("Bucketed: true") == 2, plan
