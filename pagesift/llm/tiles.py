@@ -13,15 +13,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .rows import look_up
 
-def tiled(members: DataFrame, group: str, node: str, chunk: int) -> DataFrame:
+
+def group_sizes(members: DataFrame, group: str) -> DataFrame:
+    return members.groupBy(group).agg(F.count("*").alias("size")).filter("size > 1")
+
+
+def tiled(members: DataFrame, group: str, node: str, chunk: int, sizes: DataFrame | None = None) -> DataFrame:
     """``group, low, high, part`` and the columns of ``members``, for groups of two and more.
 
+    Where groups are few, ``sizes`` may be a written table of :func:`group_sizes`: the members then do not move for their size.
+
     A tile (low, high) holds the members of two chunks, or of one if they are equal; ``part`` is
     the member's own chunk.
     """
-    sizes = members.groupBy(group).agg(F.count("*").alias("size")).filter("size > 1")
-    rows = members.join(sizes, group)
+    rows = members.join(group_sizes(members, group), group) if sizes is None else look_up(members, sizes, group)
     rows = rows.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("long"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(node), "chunks")).drop("size")
     rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))

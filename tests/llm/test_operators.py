@@ -261,7 +261,7 @@ def test_lines_equal_brute_force(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
     texts = []
-    for n in [3, 4, 5, 6, 8, 11, 12, 20, 40, 90] * 3:
+    for n in [4, 5, 6, 8, 11, 20, 40, 90] * 3:
         own = [word() for _ in range(n)]
         near = list(own)
         near[rng.randrange(n)] = word()[:4]
@@ -300,16 +300,15 @@ def test_hashes_with_fewer_differences_than_blocks_share_one(spark, lines_in_all
     rng = random.Random(lines_in_all)
     signed = lambda c: c - (1 << 64) if c >> 63 else c
     rows = []
-    blocks = len(lines.block_keys(F.col("a"), lines_in_all))
+    keys = lambda c: lines.block_keys([F.get(F.col(c), F.lit(0)), F.get(F.col(c), F.lit(1))], lines_in_all)
+    blocks = len(keys("a"))
     for i in range(200):
-        code = rng.getrandbits(128)
-        other = code
-        for bit in rng.sample(range(128), min(blocks - 1, 7)):
+        code = other = rng.getrandbits(128)
+        for bit in rng.sample(range(128), blocks - 1):
             other ^= 1 << bit
         rows.append((i, *[[signed(c >> 64 & (1 << 64) - 1), signed(c & (1 << 64) - 1)] for c in (code, other)]))
     df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
-    both = df.select(F.arrays_overlap(F.array(*lines.block_keys(F.col("a"), lines_in_all)), F.array(*lines.block_keys(F.col("b"), lines_in_all))).alias("x"))
-    assert both.filter("x").count() == 200 and blocks >= 4
+    assert blocks == 6 and df.filter(F.arrays_overlap(F.array(*keys("a")), F.array(*keys("b")))).count() == 200
 
 
 def test_very_long_lines(spark):
