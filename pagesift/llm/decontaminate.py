@@ -16,6 +16,7 @@ SEED_WORDS = 3
 RARE = 16  # items that hold a rare seed, at most
 TOGETHER = 512  # items that a row of candidates holds
 KEPT_ITEMS = 20_000  # of a worker
+LEAST_BITS = 1 << 24  # 2 MB: a small benchmark's bitmap is nearly empty, so hardly any gram passes by chance
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAK = "item_id long, score double, first_word long, end_word long"
 
@@ -232,7 +233,7 @@ def find_leaks(
     seeds, seen = materialize(texts.mapInArrow(_item_seeds(words), "item long, gram long, words int"), "seeds", n=F.count("*"), sizes=F.collect_set("words"))
     if not seen["n"]:
         return spark.createDataFrame([], f"{ROW} long, {LEAK}")
-    bits = bits_for(seen["n"])
+    bits = max(bits_for(seen["n"]), LEAST_BITS)
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds, bits))
     hits = materialize(docs.mapInArrow(_hits(bitmap, bits, sorted(seen["sizes"])), f"{ROW} long, gram long"), "seed-hits")
 

@@ -308,7 +308,7 @@ def test_hashes_with_fewer_differences_than_blocks_share_one(spark, lines_in_all
             other ^= 1 << bit
         rows.append((i, *[[signed(c >> 64 & (1 << 64) - 1), signed(c & (1 << 64) - 1)] for c in (code, other)]))
     df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
-    assert blocks == 6 and df.filter(F.arrays_overlap(F.array(*keys("a")), F.array(*keys("b")))).count() == 200
+    assert blocks == 8 and df.filter(F.arrays_overlap(F.array(*keys("a")), F.array(*keys("b")))).count() == 200
 
 
 def test_very_long_lines(spark):
