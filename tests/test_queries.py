@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +18,7 @@ from tools.check import TABLES, rows_of
 SF = "/root/testdata/sf0.001"
 QUICK = [
     "url_parts", "page_links", "page_blocks", "content_density", "content_largest", "redirect_chain", "charset_decode", "robots_filter", "tokens",
-    "tfidf_vectors", "oneclass_linear", "relevant_docs", "frontier_unique", "priority_step", "focused_traversal", "fetch_schedule", "crawl_report", "stream_rate",
+    "tfidf_vectors", "oneclass_linear", "relevant_docs", "frontier_unique", "priority_step", "focused_traversal", "fetch_schedule", "crawl_report", "stream_rate", "frontier_union", "focused_crawl", "documents_sink", "stream_sinks", "stream_dedupe", "stopword_table", "period_words",
 ]
 
 
@@ -34,6 +39,22 @@ def test_query_equals_its_sql(spark, con, name):
     assert rows_of(df.columns, df.collect()) == rows_of(names, cur.fetchall())
 
 
+def test_entry_hides_no_import_error(tmp_path):
+    """A fault inside the training-data operators is told; only their absence is none."""
+    root = os.path.dirname(entry.__file__)
+    for name, text, fails in (("broken", "import no_such_module\n", True), ("without", None, False)):
+        copy = tmp_path / name
+        shutil.copytree(f"{root}/pagesift", copy / "pagesift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(f"{root}/__spark_entry__.py", copy)
+        if text:
+            (copy / "corpus_pipeline.py").write_text(text)
+            (copy / "pagesift/llm").mkdir()
+            (copy / "pagesift/llm/__init__.py").write_text("")
+        run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+        assert (run.returncode != 0) == fails, run.stderr
+        assert fails or int(run.stdout) == len(Q.QUERIES)
+
+
 def test_every_query_has_sql():
     assert set(Q.QUERIES) == set(ORACLES) <= set(entry.oracle_sql())
 
