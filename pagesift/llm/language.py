@@ -172,7 +172,8 @@ def train_language(
 
     At most about ``train_rows`` rows of each language are used, chosen by a hash of the
     text; a language with fewer is used whole. Only counts and prototypes, one row per language, reach
-    the driver. Sums are rounded to integers, so their order does not matter.
+    the driver. Sums are rounded to integers, so their order does not matter. Empty texts and texts without a letter teach nothing, repeated
+    rows teach each, columns of other names are not looked at, and without a labelled row the model knows no language.
     """
     rows, _ = training_rows(docs, train_rows, text, lang)
     partial = rows.mapInArrow(_train(dimensions), "lang string, sums array<long>")

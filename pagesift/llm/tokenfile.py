@@ -157,7 +157,10 @@ def _read(batches):
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Documents ``doc_id, start, n_tokens, ids`` of a file set; ``start`` counts the ids of all documents before."""
+    """Documents ``doc_id, start, n_tokens, ids`` of a file set; ``start`` counts the ids of all documents before.
+
+    Null ids, repeated rows and empty texts (the end id alone) come back as they were written; an empty file set gives no rows.
+    """
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     docs = chunks.mapInArrow(_read, "shard int, doc_id long, in_shard long, n_tokens long, ids binary")
     bases = F.broadcast(_bases(spark, path))  # one row per shard
@@ -165,7 +168,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
-    """The rows of one document, by way of the index: only the chunks that hold it are decoded."""
+    """The rows of one document, by way of the index: only the chunks that hold it are decoded. All rows that share the id; none if there is none."""
     holds = F.array_contains("doc_ids", F.lit(doc_id).cast("long"))
     found = spark.read.parquet(f"{path}/index").filter(holds).select("shard", "chunk")
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").filter(holds).join(found, ["shard", "chunk"], "left_semi")

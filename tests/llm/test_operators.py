@@ -526,6 +526,18 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
         corpus_pipeline.pack_documents(spark, df, str(tmp_path)).collect()
 
 
+def test_balance_takes_the_cheapest_sequence_with_room():
+    """Dearest first, each to the sequence of least cost so far; first fit would fill the first one."""
+    lengths, size = [5, 4, 4, 3, 2, 2], 10
+    bins, cost = [[], []], [0.0, 0.0]
+    for item, n in enumerate(lengths):  # in descending order already
+        best = min((b for b in range(2) if sum(lengths[i] for i in bins[b]) + n <= size), key=lambda b: cost[b])
+        bins[best].append(item)
+        cost[best] += n + n * n / size
+    got = packing.balance(np.array(lengths), size)
+    assert sorted([i for i, _, _ in seq] for seq in got) == bins == [[0, 3, 5], [1, 2, 4]]
+
+
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
