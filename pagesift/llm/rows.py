@@ -35,7 +35,7 @@ def worker_store(name: str) -> dict:
     return sys.__dict__.setdefault("_pagesift_store", {}).setdefault(name, {})
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, chars: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches cut so small that their texts (null: empty) stay in bounded memory."""
     for batch in batches:
         at, texts = 0, batch.column(column).to_pylist() if batch.num_rows <= rows else None

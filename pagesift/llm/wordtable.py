@@ -15,7 +15,7 @@ from .hashing import mix
 
 LANES = 3
 LONGEST = 8 * LANES - 1  # bytes; the last byte of the lanes holds the length
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 KEPT_WORDS = SLOTS * 5 // 9
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
