@@ -109,3 +109,20 @@ def test_scoring_delivers_documents(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").join(spark.read.parquet(f"{sf}/pages.parquet"), ["page_id", "url"])
     assert got.count() == spark.read.parquet(f"{tmp_path}/out").count() > 0
     assert got.filter("content <> ''").count() > 0
+
+
+def test_streams_take_tables_of_one_file_and_folders(spark):
+    """The same rows come from a table that is one file and from one that is a folder of files."""
+    rows = [(i, f"http://h{i}.{tld}/{i}", f'<html lang="{"de" if i % 3 else "fr"}">') for i, tld in enumerate(["com", "net", "org"] * 7)]
+    got = []
+    for files in (1, 3):
+        folder = scratch_path(spark, "sf")
+        for name, df in (("pages", spark.createDataFrame(rows, "page_id long, url string, html string")),
+                         ("events", spark.range(5).select(F.timestamp_seconds(F.col("id") * 7200).alias("ts")))):
+            df.repartition(files).write.parquet(made := f"{folder}/{name}.parquet" if files > 1 else scratch_path(spark, "made"))
+            if files == 1:
+                os.makedirs(folder, exist_ok=True)
+                shutil.copy(next(f"{made}/{f}" for f in os.listdir(made) if f.endswith(".parquet")), f"{folder}/{name}.parquet")
+        found = sorted((r.crawl_id, r.relevant) for r in Q.stream_found(spark, folder).collect())
+        got.append((found, Q.stream_rate(spark, folder).count()))
+    assert got == [([(2, 7), (3, 7)], 4)] * 2
