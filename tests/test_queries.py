@@ -126,3 +126,10 @@ def test_streams_take_tables_of_one_file_and_folders(spark):
         found = sorted((r.crawl_id, r.relevant) for r in Q.stream_found(spark, folder).collect())
         got.append((found, Q.stream_rate(spark, folder).count()))
     assert got == [([(2, 7), (3, 7)], 4)] * 2
+
+
+def test_finished_looks_at_the_queue_of_every_crawl(spark):
+    folder = scratch_path(spark, "sf")
+    rows = [(1, "https://a.com/1", ""), (2, "http://a.net/1", ""), (3, "http://a.org/1", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    assert {r.crawl_id: r.finished for r in Q.finished_test(spark, folder).collect()} == {1: False, 2: True, 3: True}
