@@ -239,3 +239,17 @@ def test_fit_with_a_vocabulary_beyond_broadcast(terms, monkeypatch, kind):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange") == 1 and "partial_sum" in plan and plan.count("Bucketed: true") == 2, plan
+
+
+@pytest.mark.parametrize("name, steps", [("sigmoid", 2), ("rbf", 1)])
+def test_kernel_fit_from_the_mean_equals_brute_force(terms, name, steps, monkeypatch):
+    for what, size in (("BLOCK_ROWS", 4), ("PART_ROWS", 2), ("MATCHES", 5)):  # several tiles, parts and pieces
+        monkeypatch.setattr(kernels, what, size)
+    vocab = features.vocabulary(terms)
+    keys, x = matrix(terms, vocab)
+    kernel = kernels.Kernel(name, gamma=0.2, coef0=-0.5)
+    gram = gram_of(kernel, x)
+    a, g, rho = frank_wolfe(gram, 0.3, steps)
+    model = kernels.fit_kernel(terms, vocab, "doc_id", kernel, 0.3, steps, start="mean")
+    got = {(r.doc_id, r.sent_no): r.units / oneclass.UNIT for r in model.training.collect()}
+    assert np.allclose([got[k] for k in keys], g, atol=2e-9) and abs(model.rho - rho) < 2e-9 and model.n_support == len(x)
