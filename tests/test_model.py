@@ -253,3 +253,17 @@ def test_kernel_fit_from_the_mean_equals_brute_force(terms, name, steps, monkeyp
     model = kernels.fit_kernel(terms, vocab, "doc_id", kernel, 0.3, steps, start="mean")
     got = {(r.doc_id, r.sent_no): r.units / oneclass.UNIT for r in model.training.collect()}
     assert np.allclose([got[k] for k in keys], g, atol=2e-9) and abs(model.rho - rho) < 2e-9 and model.n_support == len(x)
+
+
+def test_unknown_terms_do_not_move(spark, monkeypatch):
+    """Terms that a large vocabulary lacks are left out before the join; every sentence keeps its row without a term."""
+    from pagesift.plans import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    vocab = spark.createDataFrame([("a", 5, 0), ("b", 3, 1), ("c", 1, 2)], "term string, n_total long, term_id long")
+    docs = spark.createDataFrame([(1, 0, ["a", "x", "a"]), (1, 0, ["a"]), (2, 0, ["y", "z"]), (None, None, None)], "doc_id long, sent_no int, terms array<string>")
+    moved = joins.lookup(features.with_marks(docs, "doc_id"), vocab, "term", heat="n_total", misses=False)
+    assert sorted((r.doc_id or 0, r.term or "") for r in moved.collect()) == [(0, ""), (1, ""), (1, ""), (1, "a"), (1, "a"), (1, "a"), (2, "")]
+    rows = features.count_vectors(docs, vocab, "doc_id").collect()
+    assert sorted((r.doc_id or 0, r.term or "", r.weight) for r in rows) == [(0, "", 0.0), (1, "", 0.0), (1, "a", 3.0), (2, "", 0.0)]
+    assert joins.mark_possible(spark.createDataFrame([("x",), ("a",), (None,)], "term string"), "term", vocab, 3).filter("_possible").count() == 1

@@ -165,3 +165,17 @@ def test_learned_sentences(spark):
     found = spark.createDataFrame([(1, "Am 5. Mai war es. Am 15. Mai auch. Oder 5. Juni. Also z.b. so.")], "doc_id long, text string")
     assert [r.sentence for r in S.to_sentences(found, "doc_id", pair).orderBy("sent_no").collect()] == [
         "Am 5. Mai war es.", "Am 15.", "Mai auch.", "Oder 5.", "Juni.", "Also z.b. so."]
+
+
+def test_long_stopword_tables_move_no_sentence(spark, monkeypatch):
+    from pagesift.plans import joins
+
+    rows = [(1, 0, ["a", "b", "a", "c"], "x"), (1, 1, [], "y"), (None, 2, ["b", "d"], "z"), (3, None, None, None)]
+    sents = spark.createDataFrame(rows, "doc_id long, sent_no int, tokens array<string>, more string").coalesce(1)
+    table = spark.createDataFrame([("a",), ("d",), (None,), ("a",)], "stopword string")
+    out = S.remove_stopwords(sents, table, "doc_id")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.more: r.tokens for r in out.collect()}
+    assert got == {"x": ["b", "c"], "y": [], "z": ["b"], None: None}
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    assert {r.more: r.tokens for r in S.remove_stopwords(sents.filter("doc_id = 1"), table, "doc_id").collect()} == {"x": ["b", "c"], "y": []}
