@@ -311,6 +311,30 @@ def test_hashes_with_fewer_differences_than_blocks_share_one(spark, lines_in_all
     assert blocks == 8 and df.filter(F.arrays_overlap(F.array(*keys("a")), F.array(*keys("b")))).count() == 200
 
 
+def test_lines_meet_whatever_the_number_of_lines(spark):
+    """The keys of two lines are theirs alone: the same for few and for very many lines."""
+    df = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63), i * 0xD6E8FEB86659FD93 % (1 << 63)) for i in range(200)], "a long, b long")
+    few, many = ([tuple(r) for r in df.select(*lines.block_keys([F.col("a"), F.col("b")], n)).collect()] for n in (100, 1 << 30))
+    assert few == many
+
+
+def test_least_runs():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefg", k=rng.choice([1, 2, 3, 4, 5, 9, 30]))) for _ in range(300)] + ["a " * 50, "a"]
+    own = [hashing.WordHasher().words(t)[0] for t in texts]
+    sizes = np.array([len(w) for w in own])
+    runs, counts = lines.least_runs(np.concatenate(own), np.cumsum(sizes) - sizes, sizes)
+    kinds = [{tuple(t.split()[i : i + lines.RUN]) for i in range(len(t.split()) - lines.RUN + 1)} for t in texts]
+    assert counts.tolist() == [min(len(k), lines.RUNS) for k in kinds]
+    found = [set(part.tolist()) for part in np.split(runs, np.cumsum(counts)[:-1])]
+    assert [len(f) for f in found] == counts.tolist()
+    for i, j in zip(rng.choices(range(len(texts)), k=2_000), rng.choices(range(len(texts)), k=2_000)):
+        assert kinds[i] != kinds[j] or found[i] == found[j]
+        assert not found[i] & found[j] or kinds[i] & kinds[j]
+        if len(kinds[i] | kinds[j]) <= lines.RUNS:  # all runs are keys
+            assert len(found[i] & found[j]) == len(kinds[i] & kinds[j])
+
+
 def test_very_long_lines(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(30_000)]
