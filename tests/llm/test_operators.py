@@ -318,6 +318,19 @@ def test_lines_meet_whatever_the_number_of_lines(spark):
     assert few == many
 
 
+def test_words_apart_is_no_less_than_the_distance():
+    rng = random.Random(5)
+    for _ in range(400):
+        own = ["".join(rng.choices("abc", k=rng.randint(0, 5))) for _ in range(rng.randint(1, 25))]
+        near = [w for w in own if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 4)):
+            near.insert(rng.randint(0, len(near)), "".join(rng.choices("abc", k=3)))
+        a, b = " ".join(own), " ".join(near)
+        assert lines.edit_distance(a, b, 999) <= lines.words_apart(a, b) and lines.words_apart(a, a) == 0
+        for threshold in (0.6, 0.8, 0.9):
+            assert lines.similar(a, b, threshold) == (lines.edit_distance(a, b, 999) <= int((1 - threshold) * max(len(a), len(b)) + 1e-9))
+
+
 def test_least_runs():
     rng = random.Random(4)
     texts = [" ".join(rng.choices("abcdefg", k=rng.choice([1, 2, 3, 4, 5, 9, 30]))) for _ in range(300)] + ["a " * 50, "a"]
