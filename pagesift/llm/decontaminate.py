@@ -10,7 +10,7 @@ from ..plans.bitmaps import ROW_BITS, bits_for
 from ..plans.joins import lookup
 from ..plans.materialize import materialize
 from .hashing import WordHasher
-from .rows import ROW, look_up, slices, with_rows, worker_store
+from .rows import ROW, look_up, slices, vacate, with_rows, worker_store
 
 SEED_WORDS = 3
 RARE = 16  # items that hold a rare seed, at most
@@ -129,6 +129,7 @@ class Seeds:
 
 def _item_words(batches):
     """Words of each distinct item text, as little-endian 64-bit numbers; texts without a word are left out."""
+    vacate()
     hasher = WordHasher()
     for part, texts in slices(batches, "text"):
         words = [hasher.words(t)[0] for t in texts]
@@ -139,6 +140,7 @@ def _item_words(batches):
 
 def _item_seeds(size: int):
     def run(batches):
+        vacate()
         hasher = WordHasher()
         for batch in batches:
             for at in range(batch.num_rows):
@@ -164,6 +166,7 @@ def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
 def _hits(bitmap, bits: int, sizes: list[int]):
     """Distinct grams of each document that may be seeds."""
     def run(batches):
+        vacate()
         hasher, table = WordHasher(), bitmap.value
         for part, texts in slices(batches, "text"):
             ids = part.column(ROW).to_numpy()
@@ -185,6 +188,7 @@ def _hits(bitmap, bits: int, sizes: list[int]):
 def _judge(size: int, threshold: float):
     """Leaks of the documents' candidates."""
     def run(batches):
+        vacate("items")
         hasher, kept = WordHasher(), worker_store("items").setdefault(size, {})
         for part, texts in slices(batches, "text"):
             out = []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.materialize import materialize
 from .graph import components
 from .hashing import MinHasher, WordHasher, mix
-from .rows import ROW, keep_keys, slices, with_rows
+from .rows import ROW, keep_keys, slices, vacate, with_rows
 from .tiles import forest, gathered, runs, tiled
 
 HASHES, BAND_ROWS = 128, 5
@@ -26,6 +26,7 @@ def _sign(words: int, hashes: int, band_rows: int):
     """Shingle count, identity of the shingle set, band keys and one byte per MinHash value."""
 
     def run(batches):
+        vacate()
         hasher, minhash = WordHasher(), MinHasher(hashes)
         for part, texts in slices(batches, "text"):
             counts, ids, bands, signatures = [], [], [], []
@@ -88,6 +89,7 @@ def _candidates(need: tuple[int, ...]):
     """Spanning edges of the pairs of each bucket that pruning leaves."""
 
     def run(batches):
+        vacate()
         for table, edges in runs(batches, "bucket"):
             nodes = table.column("node").to_numpy()
             flat = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(nodes), -1)
@@ -129,6 +131,7 @@ def _verify(words: int, numerator: int, denominator: int):
     """Exact links within each tile: ``a, b`` spanning edges, ``a, null, links`` counts."""
 
     def run(batches):
+        vacate()
         hasher = WordHasher()
         for table, edges in runs(batches, "component"):
             nodes, parts = table.column("node").to_numpy(), table.column("part").to_numpy()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .hashing import mix
-from .rows import slices
+from .rows import slices, vacate
 
 DIMENSIONS = 1_024
 TRAIN_ROWS = 20_000
@@ -95,6 +95,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _train(dimensions: int):
     def run(batches):
+        vacate()
         sums: dict[str, np.ndarray] = {}
         for part, texts in slices(batches, "text", rows=128):
             found, known = _vectors(part, texts, dimensions)
@@ -133,6 +134,7 @@ class LanguageModel:
 
 def _predict(languages: tuple[str, ...], prototypes: np.ndarray, text: str):
     def run(batches):
+        vacate()
         for part, texts in slices(batches, text, rows=128):
             found, known = _vectors(part, texts, prototypes.shape[1])
             if languages:
@@ -205,6 +207,7 @@ def _places(text: str) -> np.ndarray:
 
 def _holding(batches):
     """In how many documents of a language each place occurs, by slice."""
+    vacate()
     for part, texts in slices(batches, "text"):
         found: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(part.column("lang").to_pylist(), texts):
@@ -231,6 +234,7 @@ def ordinary_trigrams(docs: DataFrame, train_rows: int = TRAIN_ROWS, text: str =
 
 def _ordinary(known: np.ndarray, text: str, score: str, level: float):
     def run(batches):
+        vacate()
         for part, texts in slices(batches, text):
             shares = []
             for value, t in zip(part.column(score).to_pylist(), texts):

@@ -6,13 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pagesift.llm import chat, decontaminate, graph, hashing, jaccard, language, lines, neighbours, packing, tokencount, tokenfile, tokens, urls, wordtable
+from pagesift.llm import chat, decontaminate, graph, hashing, jaccard, language, lines, neighbours, packing, rows, tokencount, tokenfile, tokens, urls, wordtable
 from pagesift.plans.materialize import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -348,6 +349,29 @@ def test_least_runs():
             assert len(found[i] & found[j]) == len(kinds[i] & kinds[j])
 
 
+def test_workers_drop_what_other_operators_left():
+    """An operator without a store of its own begins by dropping those of others; one with a store keeps that."""
+    batch = pa.RecordBatch.from_pydict({lines.ROW: [1], "doc_id": [1], "text": ["some words of a line"]})
+    rows.worker_store("encoders")["x"] = rows.worker_store("items")["y"] = 1
+    rows.vacate("items")
+    assert rows.worker_store("items") == {"y": 1} and not rows.worker_store("encoders")
+    rows.worker_store("encoders")["x"] = 1
+    assert list(lines._lines(iter([batch])))
+    assert not rows.worker_store("encoders") and not rows.worker_store("items")
+
+
+def test_workers_give_back_what_batches_took():
+    batches = (pa.RecordBatch.from_pydict({"text": ["x" * 200_000] * 200}) for _ in range(3))
+    for part, texts in rows.slices(batches, "text"):
+        assert len(texts) == part.num_rows
+    with open("/proc/self/smaps_rollup") as f:
+        before = next(int(line.split()[1]) for line in f if line.startswith("Rss:"))
+    rows.release()
+    with open("/proc/self/smaps_rollup") as f:
+        after = next(int(line.split()[1]) for line in f if line.startswith("Rss:"))
+    assert before - after < 60_000 and pa.default_memory_pool().bytes_allocated() < 60_000_000  # nothing much was left to give back
+
+
 def test_very_long_lines(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(30_000)]
