@@ -241,6 +241,25 @@ def test_fit_with_a_vocabulary_beyond_broadcast(terms, monkeypatch, kind):
     assert plan.count("Exchange") == 1 and "partial_sum" in plan and plan.count("Bucketed: true") == 2, plan
 
 
+@pytest.mark.parametrize("least", [3, 1_000_000])
+def test_a_step_scores_by_its_vertex_alone(spark, monkeypatch, least):
+    """Only the first scores meet all weights; the terms of a vertex, which is a small part of the rows, serve the steps."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", least)
+    met, first = [], oneclass._linear_scores
+    monkeypatch.setattr(oneclass, "_linear_scores", lambda *a: met.append(a) or first(*a))
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, [f"t{n}" for n in rng.integers(0, 30, rng.integers(0, 9))]) for i in range(60)]
+    rows += [(i, 1, rows[i][2]) for i in range(20)]  # rows that tie
+    table = spark.createDataFrame(rows, "doc_id long, sent_no int, terms array<string>")
+    vocab = features.vocabulary(table)
+    keys, x = matrix(table, vocab)
+    a, g, rho = frank_wolfe(x @ x.T, 0.1, 6)
+    model = oneclass.fit_linear(table, vocab, "doc_id", 0.1, 6)
+    assert len(met) == 1
+    w = {r.term_id: r.w for r in model.weights.collect()}
+    assert np.allclose([w[i] for i in range(len(w))], x.T @ a) and abs(model.rho - rho) < 1e-8
+
+
 @pytest.mark.parametrize("name, steps", [("sigmoid", 2), ("rbf", 1)])
 def test_kernel_fit_from_the_mean_equals_brute_force(terms, name, steps, monkeypatch):
     for what, size in (("BLOCK_ROWS", 4), ("PART_ROWS", 2), ("MATCHES", 5)):  # several tiles, parts and pieces
