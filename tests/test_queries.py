@@ -133,3 +133,20 @@ def test_finished_looks_at_the_queue_of_every_crawl(spark):
     rows = [(1, "https://a.com/1", ""), (2, "http://a.net/1", ""), (3, "http://a.org/1", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     assert {r.crawl_id: r.finished for r in Q.finished_test(spark, folder).collect()} == {1: False, 2: True, 3: True}
+
+
+def test_counting_tasks_hold_bounded_text(spark, tmp_path, monkeypatch):
+    """However a file is cut into scan tasks: no task counts much more than TASK_TEXT, equal and null texts included."""
+    monkeypatch.setattr(Q.S, "TASK_TEXT", 6_000)
+    rows = [(None if i % 9 == 0 else i % 40, None if i % 50 == 0 else f"Haus{i % 30} Baum{i} steht dort. Er ist da.") for i in range(2_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = Q.counted(Q.documents(spark, str(tmp_path)))
+    size = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert size[0] <= 6_000 and size[1] >= 10
+    assert docs.count() == 2_000
+    few = Q.ngrams(spark, str(tmp_path))
+    monkeypatch.setattr(Q.S, "TASK_TEXT", 1 << 30)
+    many = Q.ngrams(spark, str(tmp_path))
+    dealt = ["RoundRobin" in q._jdf.queryExecution().executedPlan().toString() for q in (few, many)]
+    assert dealt == [True, False], few._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(few.columns, few.collect()) == rows_of(many.columns, many.collect())
