@@ -372,6 +372,44 @@ def test_workers_give_back_what_batches_took():
     assert before - after < 60_000 and pa.default_memory_pool().bytes_allocated() < 60_000_000  # nothing much was left to give back
 
 
+def test_buckets_without_near_hashes_are_told_at_once(monkeypatch):
+    """Only buckets of three and more lines with a near pair are worked through one by one; the edges are those of all pairs."""
+    rng, worked, one = np.random.default_rng(4), [], lines.near_pairs
+    monkeypatch.setattr(lines, "near_pairs", lambda codes, distance: worked.append(len(codes)) or one(codes, distance))
+    sizes = rng.integers(2, 13, 200)
+    codes = rng.integers(-(1 << 62), 1 << 62, (sizes.sum(), 2))
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    for at, end in list(zip(edges, edges[1:]))[::4]:
+        codes[end - 1] = codes[at] ^ 5
+    at = np.repeat(np.arange(200), sizes)
+    names = ["bucket", "low", "high", "node", "simhash", "other"]
+    batch = pa.RecordBatch.from_arrays([pa.array(a) for a in (at, at * 0, at * 0, np.arange(len(at)), codes[:, 0].copy(), codes[:, 1].copy())], names=names)
+    found = {tuple(sorted(e)) for out in lines._near(10)(iter([batch])) for e in zip(*(out.column(i).to_pylist() for i in (0, 1)))}
+    assert found == {(int(edges[g]), int(edges[g + 1] - 1)) for g in range(0, 200, 4)}
+    assert len(worked) == sum(n > lines.SMALL or g % 4 == 0 and n > 2 for g, n in enumerate(sizes))
+
+
+def test_line_hashes_equal_plain_ones():
+    """Bit sums by lanes, and repeats of a word in its line told by sorting, against counting one by one."""
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 2, 700, 255, 256, 3, 510, 40])
+    line, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    words = rng.integers(0, 1 << 63, 60, dtype=np.uint64)[rng.integers(0, 60, sizes.sum())]
+    words[-40:] = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    for n, code in enumerate(lines.simhashes(words, starts).tolist()):
+        own = words[line == n].tolist()
+        assert code == sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in own) > len(own))
+    told = lines.numbered(words, line)
+    for n in range(len(sizes)):
+        own, seen, wanted = words[line == n], {}, []
+        for w in own.tolist():
+            seen[w] = seen.get(w, -1) + 1
+            wanted.append((w + seen[w] * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+        assert sorted(told[line == n].tolist()) == sorted(hashing.mix(np.array(wanted, dtype=np.uint64)).tolist())
+    same_above = (np.arange(50, dtype=np.uint64) * np.uint64(7)) % np.uint64(50) % np.uint64(9)  # told apart by the lowest bits alone
+    assert (np.diff(same_above[lines.sorting(same_above)].astype(int)) >= 0).all()
+
+
 def test_very_long_lines(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(30_000)]
