@@ -274,6 +274,28 @@ def test_kernel_fit_from_the_mean_equals_brute_force(terms, name, steps, monkeyp
     assert np.allclose([got[k] for k in keys], g, atol=2e-9) and abs(model.rho - rho) < 2e-9 and model.n_support == len(x)
 
 
+@pytest.mark.parametrize("name", ["sigmoid", "rbf"])
+def test_kernel_sums_by_parts_of_the_support(spark, name, monkeypatch):
+    """However many parts the support is cut into: the sums are those of all pairs, no row is copied for the parts, and long sentences do not overflow."""
+    for what, size in (("SUPPORT_ROWS", 7), ("SUPPORT_TERMS", 40), ("FOLD", 3), ("DENSE", 20)):
+        monkeypatch.setattr(kernels, what, size)
+    rng, made, one = np.random.default_rng(3), [], kernels.materialize
+    monkeypatch.setattr(kernels, "materialize", lambda df, name, **m: made.append(name) or one(df, name, **m))
+    rows = [(int(i // 2), int(i % 2), [f"t{n}" for n in rng.integers(0, 12, rng.integers(0, 7))]) for i in range(50)] + [(90, 0, ["t1"] * 4_000 + ["t2"])]
+    table = spark.createDataFrame(rows, "doc_id long, sent_no int, terms array<string>")
+    vocab = features.vocabulary(table)
+    keys, x = matrix(table, vocab)
+    kernel = kernels.Kernel(name, gamma=0.2, coef0=-0.5)
+    points, heads = kernels._points(features.count_vectors(table, vocab, "doc_id"), "doc_id")
+    alpha = F.when(F.col("doc_id") == 90, 0.5).otherwise(0.5 / 50)
+    support = kernels._support(points.join(heads, ["cell", "doc_id", "sent_no"]).withColumn("alpha", alpha), "doc_id")
+    got = {(r.doc_id, r.sent_no): r.total for r in kernels.kernel_sums(points, heads, support, kernel, "doc_id").collect()}
+    square = (x * x).sum(axis=1)
+    gram = np.exp(-0.2 * (square[:, None] + square - 2 * x @ x.T)) if name == "rbf" else np.tanh(0.2 * x @ x.T - 0.5)
+    assert np.allclose([got[k] for k in keys], gram @ [0.5 if k[0] == 90 else 0.01 for k in keys], atol=1e-9)
+    assert made.count("tile-left") == 1 and made.count("tile-sums") > 8  # a job for each part
+
+
 def test_unknown_terms_do_not_move(spark, monkeypatch):
     """Terms that a large vocabulary lacks are left out before the join; every sentence keeps its row without a term."""
     from pagesift.plans import joins
