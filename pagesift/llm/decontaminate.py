@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.bitmaps import ROW_BITS, bits_for
+from ..plans.bitmaps import ROW_BITS, bits_for, may_be_in
 from ..plans.joins import lookup
 from ..plans.materialize import materialize
 from .hashing import WordHasher
@@ -16,6 +16,7 @@ SEED_WORDS = 3
 RARE = 16  # items that hold a rare seed, at most
 TOGETHER = 512  # items that a row of candidates holds
 KEPT_ITEMS = 20_000  # of a worker
+BROADCAST_BYTES = 4 << 20  # of candidates in memory
 LEAST_BITS = 1 << 24  # 2 MB: a small benchmark's bitmap is nearly empty, so hardly any gram passes by chance
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAK = "item_id long, score double, first_word long, end_word long"
@@ -208,6 +209,17 @@ def _judge(size: int, threshold: float):
     return run
 
 
+def _beside(docs: DataFrame, wanted: DataFrame, n: int, size: int) -> DataFrame:
+    """Documents joined with their ``n`` rows of candidates, which hold ``size`` bytes.
+
+    An item's words repeat in them, so their files are some hundred times smaller than the rows are in memory: the files' size must not
+    decide on a broadcast, neither here nor in Spark's planner. Too large for one, they meet those documents alone that a bitmap leaves.
+    """
+    if size <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(wanted), ROW)
+    return may_be_in(docs, ROW, wanted, n).join(wanted.hint("merge"), ROW)
+
+
 def find_leaks(
     rows: DataFrame, benchmark: DataFrame, threshold: float = 0.5, words: int = SEED_WORDS, rare: int = RARE,
     text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -224,7 +236,7 @@ def find_leaks(
       pairs that share no rare one. No pair is left out.
     - A pair is then judged by all seeds it shares, whichever found it, where an upper bound of the score allows.
     - Hot items and hot documents: items that repeat are judged once, a document's candidates go in rows of some hundred, and an
-      item's words are looked up through a salted join.
+      item's words are looked up through a salted join. Candidates are broadcast only where their rows are small in memory.
 
     A null or empty text has no leaks, an item without a word is never found, items that repeat are found each, null ids are ids. Other
     columns are not looked at. No rows give no rows.
@@ -252,8 +264,9 @@ def find_leaks(
     sizes = pairs.groupBy(ROW).agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
     held = lookup(pairs.join(sizes, ROW), texts, "item").withColumn("part", F.pmod(F.xxhash64("item"), "parts"))
     wanted = held.groupBy(ROW, "part").agg(F.collect_list(F.struct("item", "words")).alias("items"))
-    wanted = materialize(wanted.drop("part"), "candidates")
-    found = look_up(docs, wanted, ROW).select(ROW, "text", "items").mapInArrow(_judge(words, threshold), f"{ROW} long, item long, score double, first_word long, end_word long")
+    bytes_ = F.aggregate("items", F.lit(0).cast("long"), lambda total, x: total + F.octet_length(x["words"]) + 48)
+    wanted, seen = materialize(wanted.drop("part"), "candidates", n=F.count("*"), size=F.sum(bytes_))
+    found = _beside(docs, wanted, seen["n"] or 0, seen["size"] or 0).select(ROW, "text", "items").mapInArrow(_judge(words, threshold), f"{ROW} long, item long, score double, first_word long, end_word long")
     ids = items.join(distinct, "text").select("item_id", F.col(ROW).alias("item"))
     return materialize(found, "leaks").join(ids, "item").select(ROW, "item_id", "score", "first_word", "end_word")
 

@@ -572,6 +572,28 @@ def test_leaks_equal_brute_force_over_all_pairs(spark, docs):
     assert want and {(r.doc_id, r.item_id): r.score for r in rows} == want
 
 
+def test_candidates_are_broadcast_by_their_size_in_memory(spark, monkeypatch):
+    """Candidates that repeat a long item are small as files and large as rows, which the driver must not get."""
+    plans, one = [], decontaminate.materialize
+
+    def spied(df, name, **metrics):
+        if name == "leaks":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return one(df, name, **metrics)
+
+    monkeypatch.setattr(decontaminate, "materialize", spied)
+    long = " ".join(f"word{i}" for i in range(4_000))  # 32 KB of words as numbers
+    bench = spark.createDataFrame([(1, long), (2, "quite another item of some more words")], "item_id long, text string")
+    for n, joined in ((700, "SortMergeJoin"), (3, "BroadcastHashJoin")):
+        rows = [(i, f"{i} some words, then word{i} word{i + 1} word{i + 2} and more") for i in range(n)] + [(5_000, long), (5_001, None), (5_000, long), (None, "x " + long)]
+        df = decontaminate.with_leaks(table(spark, rows), bench)
+        assert sorted((r.doc_id or 0, r.leak.item_id, r.leak.score) for r in df.select("doc_id", F.explode("__leaks").alias("leak")).collect()) == [(0, 1, 1.0), (5_000, 1, 1.0), (5_000, 1, 1.0)]
+        assert df.count() == n + 4
+        plan = plans[0]  # where documents meet their candidates
+        plans.clear()
+        assert joined in plan and ("SortMergeJoin" in plan) == (n == 700), plan
+
+
 def test_no_benchmark_text_in_the_driver(spark, docs, monkeypatch):
     """Neither plans nor what is collected hold an item's words: the driver gets a bitmap of bounded size."""
     bench = spark.createDataFrame([(1, "zebra quagga okapi gnu"), (2, "zebra tapir")], "item_id long, text string")
