@@ -319,6 +319,17 @@ def test_lines_meet_whatever_the_number_of_lines(spark):
     assert few == many
 
 
+def test_lines_with_word_runs_meet_by_their_blocks_too(spark):
+    """Lines whose hashes are near meet by a block of them, whether they share a word run or lack the same word or not."""
+    code = 0x0123456789ABCDEF
+    facts = [([1, 2, 3, 4], []), ([5, 6, 7, 8], []), ([9], [5]), ([], [])]
+    rows = [(10 * far + n, code ^ (1 << n) - 1 ^ far << 60, code + far * 0x5555, lacking, runs) for far in (0, 1) for n, (runs, lacking) in enumerate(facts)]
+    rows = [(n, s ^ (0x7FFFFFFF0000 if n >= 10 else 0), o, lacking, runs) for n, s, o, lacking, runs in rows]
+    nodes = spark.createDataFrame(rows, "node long, simhash long, other long, lacking array<long>, runs array<int>")
+    found = {r.node: r.component for r in graph.components(lines.near_lines(nodes, 8, 4_096)).collect()}
+    assert found == {n: n // 10 * 10 for n, *_ in rows}
+
+
 def test_words_apart_is_no_less_than_the_distance():
     rng = random.Random(5)
     for _ in range(400):
