@@ -308,3 +308,21 @@ def test_unknown_terms_do_not_move(spark, monkeypatch):
     rows = features.count_vectors(docs, vocab, "doc_id").collect()
     assert sorted((r.doc_id or 0, r.term or "", r.weight) for r in rows) == [(0, "", 0.0), (1, "", 0.0), (1, "a", 3.0), (2, "", 0.0)]
     assert joins.mark_possible(spark.createDataFrame([("x",), ("a",), (None,)], "term string"), "term", vocab, 3).filter("_possible").count() == 1
+
+
+def test_terms_are_counted_where_they_were_joined(spark, monkeypatch):
+    """With a vocabulary too large to broadcast the counts need no shuffle of their own, hot terms and repeated or null sentences included."""
+    rows = [(None if i % 11 == 0 else i % 40, i % 3 if i % 7 else None, ["a"] * (i % 4) + [f"t{i % 13}", "never"] if i % 5 else []) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, sent_no int, terms array<string>")
+    vocab = spark.createDataFrame([("a", 900, 0), *((f"t{n}", 20, n + 1) for n in range(13))], "term string, n_total long, term_id long")
+    small = features.count_vectors(docs, vocab, "doc_id")
+    want = sorted(map(str, small.collect()))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = features.count_vectors(docs, vocab, "doc_id")
+        assert large.columns == small.columns and sorted(map(str, large.collect())) == want
+        plan = large._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning(term") == 2 and "hashpartitioning(doc_id" not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
